@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import packing, quality, sharding
 
 
 def queries() -> dict:
-    return {"op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality}
+    return {"op1_packing": packing.op1_packing, "op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality}
 
 
 def oracle_sql() -> dict[str, str]:
