@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding
+from . import neardup, packing, quality, sharding
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality}
+    return {"op1_packing": packing.op1_packing, "op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality, "op9_near_duplicates": neardup.op9_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
