@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, quality, sharding
+from . import decontaminate, neardup, packing, quality, sharding
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality, "op9_near_duplicates": neardup.op9_near_duplicates}
+    return {"op1_packing": packing.op1_packing, "op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality, "op9_near_duplicates": neardup.op9_near_duplicates, "op10_decontaminate": decontaminate.op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.SQL}
+    return {"op4_quality": quality.SQL, "op10_decontaminate": decontaminate.SQL}
