@@ -125,3 +125,13 @@ def arrow_columns(df: DataFrame, inputs: list[str], fields: str, fn, keep: list[
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
 
     return df.select([F.col(f"`{c}`") for c in need]).mapInArrow(run, out)
+
+
+def without(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text aren't in ``told`` (doc_id, doc_key: xxhash64 of the text)."""
+    told = told.select(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k"))
+    return docs.join(told, (F.xxhash64(docs["text"]) == F.col("__k")) & docs["doc_id"].eqNullSafe(F.col("__d")), "left_anti")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("doc_key"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ALNUM_WORD, Scratch, lowered, renamed_clashes, table, words_of
+from .common import ALNUM_WORD, Scratch, keyed, lowered, renamed_clashes, table, without, words_of
 
 WINDOW, SHINGLE = 13, 3
 #: About 200 bytes each.
@@ -125,6 +125,11 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated ones, with its columns."""
+    return without(docs, contamination(keyed(docs), items, ["doc_id", "doc_key"]).filter("contaminated"))
+
+
 def op10_decontaminate(spark, sf_dir) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = contamination(docs, items, ["doc_id"])

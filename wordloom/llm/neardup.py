@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_columns, renamed_clashes, table
+from .common import Scratch, arrow_columns, keyed, renamed_clashes, table, without
 from .graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -214,6 +214,11 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, percent: int
     return out.select(*[F.col(f"`{c}`") for c in keep], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
 
 
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest doc_id. Texts don't move but for the last join."""
+    return without(docs, near_duplicates(keyed(docs), ["doc_id", "doc_key"], percent).filter(~F.col("kept")))
+
+
 def op9_near_duplicates(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, ["doc_id"]).select("doc_id", "n_shingles", "component_id", "kept")

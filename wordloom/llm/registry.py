@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, quality, sharding
+import corpus_pipeline
+
+from . import decontaminate, lines, neardup, packing, quality, sharding
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality, "op9_near_duplicates": neardup.op9_near_duplicates, "op10_decontaminate": decontaminate.op10_decontaminate}
+    return {"pipeline": corpus_pipeline.run, "op1_packing": packing.op1_packing, "op3_sharding": sharding.op3_sharding, "op4_quality": quality.op4_quality, "op7_line_dedup": lines.op7_line_dedup, "op9_near_duplicates": neardup.op9_near_duplicates, "op10_decontaminate": decontaminate.op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
