@@ -69,9 +69,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base, self.paths = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:8]}", {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
