@@ -18,6 +18,7 @@ of links; its first line (smallest document, then smallest place in it) is kept.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -87,19 +88,20 @@ def within(a: Column, b: Column, k: int) -> Column:
     lower (left out of b) or, in the new row, one higher (put into b).
     """
     mask = (1 << (2 * k + 1)) - 1
-    start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << k & mask).alias(f"r{e}") for e in range(k + 1)])
+    # the arrays travel in the state, so that they are made once and not once a step
+    start = F.struct(a.alias("a"), b.alias("b"), *[F.lit(((1 << (e + 1)) - 1) << k & mask).alias(f"r{e}") for e in range(k + 1)])
 
     def step(state, i):
         match = F.lit(0)
         for d in range(-k, k + 1):
-            match = match.bitwiseOR(F.when(F.get(b, i + d) == F.get(a, i), 1 << (k + d)).otherwise(0))
+            match = match.bitwiseOR(F.when(F.get(state["b"], i + d) == F.get(state["a"], i), 1 << (k + d)).otherwise(0))
 
         def rows(m):
             new = [state["r0"].bitwiseAND(m)]
             for e in range(1, k + 1):
                 above = state[f"r{e - 1}"]
                 new.append(state[f"r{e}"].bitwiseAND(m).bitwiseOR(above).bitwiseOR(F.shiftright(above, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(mask))
-            return F.struct(*[c.alias(f"r{e}") for e, c in enumerate(new)])
+            return F.struct(state["a"].alias("a"), state["b"].alias("b"), *[c.alias(f"r{e}") for e, c in enumerate(new)])
 
         return F.element_at(F.transform(F.array(match), rows), 1)
 
@@ -120,23 +122,29 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     docs, k = docs.select("doc_id", "text"), edits
     scratch = Scratch(docs.sparkSession, "lines")
     n = F.length("s").cast("int")
-    lines = split_lines(docs, least=least).select("doc_id", "text_key", "line", n.alias("n"), F.unhex(F.md5(F.encode("s", "UTF-8"))).alias("digest"), letter_counts(F.col("s")).alias("letters"), *[c.alias(f"k{i}") for i, c in enumerate(probe_keys(F.col("s"), n, k))])
+    digest = F.unhex(F.md5(F.col("s").cast("binary"))).alias("digest")
+    lines = split_lines(docs, least=least).select("doc_id", "text_key", "line", n.alias("n"), digest, *[c.alias(f"k{i}") for i, c in enumerate(probe_keys(F.col("s"), n, k))])
     keys = [c for c in lines.columns if c[0] == "k"]
     # the first place of each distinct line; every copy has the same keys
-    nodes = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("place"), *[F.max(c).alias(c) for c in ("n", "letters", *keys)])
+    nodes = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("place"), *[F.max(c).alias(c) for c in ("n", *keys)])
     nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
 
-    # the probes of a line at its own length with no shift are its index
+    # keys that several lines have; the probes of a line at its own length with no shift are its index
     own = [j for j, (shorter, shift) in enumerate((s, h) for s in range(k + 1) for i in range(k + 1) for h in range(max(-i, s - (k - i)), min(i, s + k - i) + 1)) if (shorter, shift) == (0, 0)]
-    side = lambda c, which: nodes.select(F.explode(F.array(*[F.col(keys[j]) for j in which])).alias("key"), F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("letters").alias(f"{c}l")).filter("key is not null")
-    u, v = side("u", range(len(keys))), side("v", own)
-    order = (F.col("un") > F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") > F.col("v")))
-    pairs = u.join(v, (u["key"] == v["key"]) & order & (F.col("un") - F.col("vn") <= k) & (counts_apart(F.col("ul"), F.col("vl")) <= 2 * k)).select("u", "v").distinct()
-    pairs = scratch.save(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    places = scratch.save(nodes.join(wanted, "node").select("node", F.col("place.doc_id").alias("d"), F.col("place.text_key").alias("t"), F.col("place.line").alias("line")), "places")
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(places, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    places = nodes.select("node", F.posexplode(F.array(*keys)).alias("j", "key")).filter("key is not null").select("key", "node", F.col("j").isin(own).alias("own"))
+    of_key = W.partitionBy("key")
+    shared = places.withColumns({"lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key), "indexed": F.max("own").over(of_key)})
+    shared = scratch.save(shared.filter("lo < hi and indexed").select("key", "node", "own"), "shared")
+    wanted = scratch.save(nodes.join(shared.select("node").distinct(), "node").select("node", F.col("place.doc_id").alias("d"), F.col("place.text_key").alias("t"), F.col("place.line").alias("line")), "wanted")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     texts = scratch.save(found.select("node", F.get(F.split("text", "\n", -1), F.col("line")).alias("s")).groupBy("node").agg(F.min("s").alias("s")), "texts")
+
+    full = texts.select("node", "s", n.alias("n"), letter_counts(F.col("s")).alias("letters"))
+    side = lambda c, rows: rows.join(full, "node").select("key", F.col("node").alias(c), F.col("s").alias(f"{c}s"), F.col("n").alias(f"{c}n"), F.col("letters").alias(f"{c}l"))
+    u, v = side("u", shared), side("v", shared.filter("own"))
+    order = (F.col("un") > F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") > F.col("v")))
+    near = (F.col("un") - F.col("vn") <= k) & (counts_apart(F.col("ul"), F.col("vl")) <= 2 * k) & (F.levenshtein("us", "vs", k) >= 0)
+    pairs = scratch.save(u.join(v, (u["key"] == v["key"]) & order & near).select("u", "v").distinct(), "pairs")
     chars = lambda c: F.regexp_extract_all(f"{c}s", F.lit("(?s)."), F.lit(0)).alias(f"{c}c")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("s").alias("us")), "u").join(texts.select(F.col("node").alias("v"), F.col("s").alias("vs")), "v")
     links = scratch.save(both.select("u", "v", chars("u"), chars("v")).filter(within(F.col("uc"), F.col("vc"), k)).select("u", "v"), "links")
@@ -146,7 +154,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     placed = nodes.select("node", "digest", "place").join(classes, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = placed.groupBy("component").agg(F.min("place").alias("first"))
     told = placed.join(first, "component").select("digest", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    each = split_lines(docs, least=least).select("doc_id", "text_key", "line", n.cast("long").alias("n_chars"), F.unhex(F.md5(F.encode("s", "UTF-8"))).alias("digest"))
+    each = split_lines(docs, least=least).select("doc_id", "text_key", "line", n.cast("long").alias("n_chars"), digest)
     here = F.struct("doc_id", "text_key", "line")
     return each.join(told, "digest").select("doc_id", "text_key", "line", "n_chars", F.col("first.doc_id").alias("class_doc"), F.col("first.line").alias("class_line"), "n_links", here.eqNullSafe(F.col("first")).alias("kept"))
 
