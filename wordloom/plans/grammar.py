@@ -122,7 +122,9 @@ def storage_bytes(c: Choice, n: int, bits: int) -> int:
     """Bytes of the children's streams, without making them."""
     if c.family in _MERGE:
         return sum(n * storage(b) for _, b in parts(c, bits))
-    return {"Lit": 0, "Const": 0, "Repeat": n // max(1, int(c.param or 1))}.get(c.family, n) * storage(bits) if c.family != "Concat" else n * storage(bits)
+    if c.family in ("Lit", "Const"):
+        return 0
+    return (n // c.param if c.family == "Repeat" else n - 1 if c.family in _SCAN else n) * storage(bits)
 
 
 def fixed_bytes(c: Choice, w: np.ndarray, bits: int) -> int:

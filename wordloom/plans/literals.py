@@ -189,8 +189,8 @@ def _rans_decode(symbols, f, payload, n):
 # ---- choice ----------------------------------------------------------------------------
 
 
-def sizes(words: np.ndarray, bits: int, limit: int | None = None) -> dict[str, int]:
-    """Bytes of each body that applies. rans is left out where its bound shows that it can't win."""
+def sizes(words: np.ndarray, bits: int, every: bool = False) -> dict[str, int]:
+    """Bytes of each body that applies. Unless ``every``, rans is left out where its bound shows that it can't win."""
     n = len(words)
     out = {"raw": 1 + n * storage(bits)}
     if not n:
@@ -201,7 +201,7 @@ def sizes(words: np.ndarray, bits: int, limit: int | None = None) -> dict[str, i
         length = code_lengths(list(zip(symbols.tolist(), counts.tolist())))
         if max(length.values()) <= 32:
             out["huffman"] = 13 + 5 * len(symbols) + (sum(length[s] * c for s, c in zip(symbols.tolist(), counts.tolist())) + 7) // 8
-    if len(symbols) <= MOST_SYMBOLS["rans"] and rans_bound(counts) < min(*out.values(), limit or 1 << 62):
+    if len(symbols) <= MOST_SYMBOLS["rans"] and (every or rans_bound(counts) < min(out.values())):
         out["rans"] = 13 + 8 * len(symbols) + 16 + sum(map(len, rans_lanes(words, symbols, frequencies(counts))))
     return out
 
