@@ -31,8 +31,9 @@ def test_query_is_its_sql(spark, db, name):
     got, want = registry.queries()[name](spark, D), db.sql(registry.oracle_sql()[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
-    a = sorted(tuple(r[c] for c in names) for r in got.collect())
-    b = sorted(tuple(x) for x in want.project(", ".join(f'"{c}"' for c in names)).fetchall())
+    key = lambda t: [(x is None, x if x is not None else 0) for x in t]
+    a = sorted((tuple(r[c] for c in names) for r in got.collect()), key=key)
+    b = sorted((tuple(x) for x in want.project(", ".join(f'"{c}"' for c in names)).fetchall()), key=key)
     assert len(a) == len(b) and all(x == y or all(p == q or (isinstance(p, float) and abs(p - q) < 1e-9) for p, q in zip(x, y)) for x, y in zip(a, b))
 
 
