@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_columns, renamed_clashes, table
 
-MADE, SAMPLE, SEED = 300, 300, 11
+MADE, SAMPLE, SEED = 600, 300, 11
 #: Weight of the edge between blocks that share all ancestors, and what each ancestor that they don't share leaves of it.
 SMOOTH, FADE = 1.2, 0.5
+#: What is left of an edge between blocks of which one alone is in something that is named as no content.
+BORDER = 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*+>|<(?=[a-zA-Z/!?])", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -52,7 +54,7 @@ NAMES = {
 NAMES = {k: frozenset(v.split()) for k, v in NAMES.items()}
 _ELEMENTS = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "fieldset": "form", "dialog": "notice", "article": "content", "main": "content"}
 GROUPS = list(NAMES)
-FEATURES = ["one", *GROUPS, *(f"{g}_near" for g in GROUPS), "heading", "item", "paragraph", "links", "length", "sentences", "short", "copyright", "capitals"]
+FEATURES = ["one", *GROUPS, *(f"{g}_inmost" for g in GROUPS), "outside", "bare", "header_in_content", "heading", "item", "paragraph", "links", "length", "long", "sentences", "short", "copyright", "capitals"]
 
 
 class Block:
@@ -63,13 +65,13 @@ class Block:
 
 
 def _groups(tag: str, attributes: str) -> frozenset:
-    found = {_ELEMENTS[tag]} if tag in _ELEMENTS else set()
-    if attributes and "=" in attributes:
+    found, named = {_ELEMENTS[tag]} if tag in _ELEMENTS else set(), set()
+    if tag not in ("html", "body") and attributes and "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             tokens = {t.lower() for t in re.findall(r"[A-Za-z][a-z]*|[A-Z]+", value)} | {t.lower() for t in re.findall(r"[A-Za-z]+", value)}
-            found |= {g for g, names in NAMES.items() if names & tokens}
-    return frozenset(found)
+            named |= {g for g, names in NAMES.items() if names & tokens}
+    return frozenset(found | (named - {"content"} or named))  # a main menu is a menu
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -155,18 +157,24 @@ def blocks(page: str | None) -> list[Block]:
     return kept
 
 
-def features(b: Block) -> list[float]:
-    around, near = frozenset().union(*b.groups) if b.groups else frozenset(), frozenset().union(*b.groups[-2:]) if b.groups else frozenset()
+def has_content(own: list[Block]) -> bool:
+    return any("content" in g for b in own for g in b.groups)
+
+
+def features(b: Block, marked: bool) -> list[float]:
+    """``marked``: whether the page has a container of content at all."""
+    around = frozenset().union(*b.groups) if b.groups else frozenset()
+    inmost = next((g for g in reversed(b.groups) if g), frozenset())
     words, n = b.text.count(" ") + 1, len(b.text)
     ends = sum(map(b.text.count, ".!?"))
     letters = sum(map(str.isupper, b.text[:400]))
     return [
-        1.0, *(float(g in around) for g in GROUPS), *(float(g in near) for g in GROUPS), float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(b.tag in ("li", "dd", "dt", "td", "th")), float(b.tag in ("p", "blockquote", "pre")),
-        min(1.0, b.linked / n), math.log1p(words) / 5, min(1.0, ends / 5), float(words < 6), float("©" in b.text or "copyright" in b.text.lower()), letters / min(n, 400),
+        1.0, *(float(g in around) for g in GROUPS), *(float(g in inmost) for g in GROUPS), float(marked and "content" not in around), float(not marked), float("header" in inmost and "content" in around), float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(b.tag in ("li", "dd", "dt", "td", "th")), float(b.tag in ("p", "blockquote", "pre")),
+        min(1.0, b.linked / n), math.log1p(words) / 5, float(words >= 12), min(1.0, ends / 5), float(words < 6), float("©" in b.text or "copyright" in b.text.lower()), letters / min(n, 400),
     ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 30) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.003, rounds: int = 30) -> np.ndarray:
     """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -196,10 +204,14 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
     own = [sentence(2, 8)] + [rng.choice((para, sentence))() for _ in range(rng.randrange(1, 12))]
     shape = lambda i, t: f"<h{rng.choice((1, 2))}>{t}</h1>" if i == 0 else rng.choice((f"<p>{t}</p>", f"<p>{t}</p>", f"<p>{t}</p>", f"<blockquote>{t}</blockquote>", f"<ul><li>{t}</li></ul>", f"<h3>{t}</h3>"))
     body = [re.sub(r"^<h(\d)>(.*)</h\d>$", r"<h\1>\2</h\1>", shape(i, t)) for i, t in enumerate(own)]
-    if rng.random() < 0.4:
+    if rng.random() < 0.3:
+        body[0] = f"<header>{body[0]}</header>"
+    for _ in range(rng.choice((0, 0, 1, 2))):
         body.insert(rng.randrange(1, len(body) + 1), rng.choice(junk[4:9])())
+    if rng.random() < 0.3:
+        body.append(rng.choice(tail)())
     body = "".join(body)
-    wrap = rng.choice((f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f'<div class="{rng.choice(sorted(NAMES["content"]))}">{body}</div>', f'<div id="{rng.choice(sorted(NAMES["content"]))}"><div>{body}</div></div>', f"<div>{body}</div>", body))
+    wrap = rng.choice((f'<div class="{word()}">{body}</div>', f'<div id="{word()}"><div class="{word()}">{body}</div></div>', f"<section>{body}</section>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f'<div class="{rng.choice(sorted(NAMES["content"]))}">{body}</div>', f'<div id="{rng.choice(sorted(NAMES["content"]))}"><div>{body}</div></div>', f"<div>{body}</div>", body))
     before, after = [rng.choice(junk)() for _ in range(rng.randrange(0, 5))], [rng.choice(junk + tail + tail)() for _ in range(rng.randrange(0, 5))]
     return f"<html><body>{''.join(before)}{wrap}{''.join(after)}</body></html>", set(own)
 
@@ -211,22 +223,29 @@ def training(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rng, x, y = random.Random(SEED), [], []
     for _ in range(MADE):
         page, own = made_page(rng)
-        for b in blocks(page):
-            x.append(features(b))
+        found = blocks(page)
+        marked = has_content(found)
+        for b in found:
+            x.append(features(b, marked))
             y.append(float(b.text in own))
     for page in pages:
         own = blocks(page)
         inside = [any("content" in g for g in b.groups) for b in own]
         if any(inside) and not all(inside):
             for b, main in zip(own, inside, strict=True):
-                x.append(features(b))
                 y.append(float(main and not (_JUNK & frozenset().union(*b.groups))))
+                x.append(features(b, True))
+                # the same page without its container
+                b.groups = [g - {"content"} for g in b.groups]
+                x.append(features(b, False))
+                y.append(y[-1])
     return np.array(x), np.array(y)
 
 
 def edges(own: list[Block]) -> list[tuple[int, int, float]]:
     """(i, j, weight): next blocks of the page, and next blocks of each parent."""
     out, last = [], {}
+    junk = [frozenset().union(*b.groups) & _JUNK if b.groups else frozenset() for b in own]
     for i, b in enumerate(own):
         pairs = {i - 1} if i else set()
         for parent in b.path[-2:]:
@@ -240,7 +259,7 @@ def edges(own: list[Block]) -> list[tuple[int, int, float]]:
                     break
                 shared += 1
             apart = max(len(a), len(b.path)) - shared
-            out.append((j, i, SMOOTH * FADE ** max(0, apart - 1)))
+            out.append((j, i, SMOOTH * FADE ** max(0, apart - 1) * (1.0 if junk[i] == junk[j] else BORDER)))
     return out
 
 
@@ -314,7 +333,8 @@ def min_cut(gain: list[float], links: list[tuple[int, int, float]]) -> list[bool
 
 def main_blocks(page: str | None, weights: list[float]) -> list[Block]:
     own = blocks(page)
-    gain = [sum(w * x for w, x in zip(weights, features(b))) for b in own]
+    marked = has_content(own)
+    gain = [sum(w * x for w, x in zip(weights, features(b, marked))) for b in own]
     return [b for b, keep in zip(own, min_cut(gain, edges(own)), strict=True) if keep]
 
 
