@@ -40,7 +40,7 @@ def matrix(runs: DataFrame) -> DataFrame:
     """Each checkpoint and method of the log, with the status of its best attempt, or ``missing``. Both lists are short."""
     checkpoints, methods = runs.select("checkpoint").distinct(), runs.select("method").distinct()
     best = runs.groupBy("checkpoint", "method").agg(F.max("status").alias("status"), F.count_if(F.col("status") == "ok").alias("ok"))
-    all_ = checkpoints.join(F.broadcast(methods))  # names of methods
+    all_ = checkpoints.crossJoin(methods)  # the matrix has every pair
     return all_.join(best, ["checkpoint", "method"], "left").select("checkpoint", "method", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce("ok", F.lit(0)).alias("ok"))
 
 
