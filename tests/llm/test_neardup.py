@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wordloom.llm import neardup as n
@@ -40,6 +41,19 @@ def test_query_is_brute_force(spark):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("crowd", [n.CROWD, 2])
+def test_a_crowd_of_edited_copies(spark, monkeypatch, crowd):
+    monkeypatch.setattr(n, "CROWD", crowd)
+    rng, base, rows = random.Random(9), [f"w{i}" for i in range(150)], []
+    for d in range(150):
+        own = list(rng.choice(rows)[1].split() if rows and rng.random() < 0.6 else base)
+        for _ in range(rng.randrange(0, 6)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[d] != c for d, (_, c) in brute(dict(rows)).items()) <= 1
+
+
 def test_borderline_pairs(spark):
     rng, rows = random.Random(5), []
     for k in range(300):

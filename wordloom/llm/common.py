@@ -129,8 +129,11 @@ def arrow_columns(df: DataFrame, inputs: list[str], fields: str, fn, keep: list[
 
 
 def without(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id and text aren't in ``told`` (doc_id, doc_key: xxhash64 of the text)."""
-    told = told.select(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k"))
+    """The rows of ``docs`` whose doc_id and text aren't in ``told`` (doc_id, doc_key: xxhash64 of the text).
+
+    A merge join at every size: what was told grows with the documents.
+    """
+    told = told.select(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k")).hint("merge")
     return docs.join(told, (F.xxhash64(docs["text"]) == F.col("__k")) & docs["doc_id"].eqNullSafe(F.col("__d")), "left_anti")
 
 

@@ -136,7 +136,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     shared = places.withColumns({"lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key), "indexed": F.max("own").over(of_key)})
     shared = scratch.save(shared.filter("lo < hi and indexed").select("key", "node", "own"), "shared")
     wanted = scratch.save(nodes.join(shared.select("node").distinct(), "node").select("node", F.col("place.doc_id").alias("d"), F.col("place.text_key").alias("t"), F.col("place.line").alias("line")), "wanted")
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted.hint("merge"), (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     texts = scratch.save(found.select("node", F.get(F.split("text", "\n", -1), F.col("line")).alias("s")).groupBy("node").agg(F.min("s").alias("s")), "texts")
 
     full = texts.select("node", "s", n.alias("n"), letter_counts(F.col("s")).alias("letters"))
@@ -167,7 +167,7 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) ->
     """
     names = docs.columns
     drops = near_lines(docs, edits, least).filter(~F.col("kept")).groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).agg(F.collect_set("line").alias("__lines"))
-    rows = docs.withColumn("__k", F.xxhash64("text")).join(drops, (F.col("__k") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    rows = docs.withColumn("__k", F.xxhash64("text")).join(drops.hint("merge"), (F.col("__k") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     # copies of a line drop out of one text only if they are in its list; a set of places is as long as the text at most
     left = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.array_contains(F.col("__lines"), i))
     rows = rows.withColumn("__text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))

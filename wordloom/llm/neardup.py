@@ -12,10 +12,14 @@ so every chunk is indexed, and the values within r errors of the first a + 1 chu
 Candidates are confirmed on the full sets, whatever their signatures say.
 
 Equal sets collapse into one node before anything else. Large buckets don't expand
-into pairs: first each bucket's members are compared with its smallest one and the
-confirmed links joined into components; then the pairs of a bucket that still lie
+into pairs: first each bucket's members are compared with the one of them that meets
+most others, and the confirmed links joined into components; then the pairs of a bucket that still lie
 in different components are compared, inside the join, by the first 120 bits, and
-those that can be under the threshold go on. No bucket is cut short.
+those that can be under the threshold go on. A bucket of ``CROWD`` or more members in
+several components is split further, without losing a link: similar sets share one
+of their rarest shingles, those before the last similarity * size (prefix filter),
+and a group of copies with many edits has few such shingles in common. Their members
+are compared with one member of each shingle first, too. No bucket is cut short.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_columns, keyed, renamed_clashes, table, without
@@ -32,6 +37,8 @@ from .graph import components
 
 SHINGLE, PERCENT = 5, 85
 CHUNKS, WIDTH, DISTANCE, SEED = 32, 20, 33, 7
+#: Members from which a bucket's pairs must share a rare shingle too.
+CROWD = 64
 #: Chunks in a signed 64-bit number.
 IN_A_WORD = 3
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -127,16 +134,39 @@ def bucket_rows(nodes: DataFrame, carry: list, chunks: int, width: int, distance
 
 
 def loosest(bits: int, percent: int) -> int:
-    """Differing bits that a pair at the threshold exceeds less than once in 10 million times."""
+    """Differing bits that a pair at the threshold exceeds less than once in 200,000 times."""
     p = (1 - percent / 100) / 2
-    return math.ceil(bits * p + 5.5 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 4.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text, set_key of the wanted nodes; some other text of the same id and hash may come along."""
+    found = nodes.select("node", "rep_doc", "text_key", "set_key").join(wanted, "node", "left_semi")
+    return docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64("text").alias("t")).join(found.hint("merge"), (F.col("t") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("rep_doc"))).select("node", "text", "set_key")
+
+
+def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """node, shingle, n (of the set), place (from 1): of each set the rarest, one more than a similar set can lack; ties go by hash.
+
+    Shingles that no other set has count for the places, but bring nobody together and are left out.
+    """
+
+    def run(rows, keys):
+        from xxhash import xxh3_128_digest
+
+        sets = [shingle_set(t) for t in rows]
+        return [[own.astype(np.int64) if xxh3_128_digest(own.tobytes()) == k else [] for own, k in zip(sets, keys, strict=True)]]
+
+    each = arrow_columns(texts, ["text", "set_key"], "shingles array<bigint>", run, ["node"]).select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    counted = each.withColumn("often", F.count("*").over(W.partitionBy("shingle")))
+    ranked = counted.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("often", "shingle")))
+    return ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("node", "shingle", "n", "place")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. Texts are fetched for the nodes of a pair alone."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    found = nodes.select("node", "rep_doc", "text_key", "set_key").join(wanted, "node", "left_semi")
-    texts = docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64("text").alias("t")).join(found, (F.col("t") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("rep_doc"))).select("node", "text", "set_key")
+    texts = _texts(wanted, nodes, docs)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"), F.col("set_key").alias(f"{c}_key"))
     both = pairs.join(side("v"), "v").join(side("u"), "u")
 
@@ -182,28 +212,53 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, percent: int
     nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_key").alias("text_key"), "least_doc", *names), "nodes")
     loose, prefix = max(loosest(chunks * width, percent), distance), max(distance, loosest(2 * IN_A_WORD * width, percent))
 
-    # each bucket's members against its smallest
-    index = bucket_rows(nodes, ["node"], chunks, width, None)
-    hubs = index.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").select("key", "v")
-    stars = index.join(hubs, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    # each bucket's members against the one that meets most others, in all its buckets
     sig = lambda c: nodes.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}{w}") for w in names])
     close = lambda pairs: pairs.join(sig("u"), "u").join(sig("v"), "v").filter(_distance(names, "u", "v") <= loose).select("u", "v")
-    stars = scratch.save(close(stars), "stars")
-    links = scratch.save(_confirmed(stars, nodes, docs, percent), "links")
-    first = components(links, scratch, "first")
-
-    # what is still apart
-    at = nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("c"), *names)
-    at = scratch.save(at, "at")
-    left = bucket_rows(at, ["node", "c", "s0", "s1"], chunks, width, None)
-    right = bucket_rows(at, ["node", "c", "s0", "s1"], chunks, width, distance)
-    mixed = right.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    l = left.join(mixed, "key", "left_semi").select("key", F.col("node").alias("v"), F.col("c").alias("vc"), F.col("s0").alias("v0"), F.col("s1").alias("v1"))  # noqa: E741
-    r = right.select("key", F.col("node").alias("u"), F.col("c").alias("uc"), F.col("s0").alias("u0"), F.col("s1").alias("u1"))
-    near = F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))) + F.bit_count(F.col("u1").bitwiseXOR(F.col("v1"))) <= prefix
-    apart = r.join(l, (r["key"] == l["key"]) & (F.col("uc") != F.col("vc")) & (F.col("u") > F.col("v")) & near).select("u", "v").distinct()
-    apart = scratch.save(close(apart).join(stars, ["u", "v"], "left_anti"), "apart")
-    more = scratch.save(_confirmed(apart, nodes, docs, percent), "more")
+    pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    shared = bucket_rows(nodes, ["node"], chunks, width, None).withColumn("n", F.count("*").over(W.partitionBy("key")))
+    shared = scratch.save(shared.filter("n > 1"), "shared")
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+    tried = scratch.save(close(shared.join(hubs, "key").filter("node <> hub").select(*pair("node", "hub")).distinct()), "stars")
+    links = scratch.save(_confirmed(tried, nodes, docs, percent), "links")
+    joined = components(links, scratch, "first")
+
+    # crowded buckets: who is in one, or an error away from one, that holds another component
+    placed = lambda joined: nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("c"), *names)
+    at = scratch.save(placed(joined), "at")
+    own_rows = shared.filter(F.col("n") >= CROWD).select("key", "node").join(at.select("node", "c"), "node")
+    crowded = scratch.save(own_rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "crowded")
+    visits = bucket_rows(at, ["node", "c"], chunks, width, distance).join(crowded, "key").filter((F.col("lo") < F.col("hi")) | (F.col("c") != F.col("lo"))).select("key", "node")
+    visits = scratch.save(visits, "visits")
+    crowd = visits.select("node").unionByName(own_rows.join(visits.select("key").distinct(), "key", "left_semi").select("node")).distinct()
+    shingles = scratch.save(rare_shingles(_texts(scratch.save(crowd, "crowd"), nodes, docs), percent), "rare")
+
+    # the members of each rare shingle against the one that meets most others
+    rare = shingles.join(at.select("node", "c"), "node").join(met, "node", "left")
+    hubs = rare.groupBy("shingle").agg(F.max(F.struct("met", "node", "c")).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle", F.col("h.node").alias("hub"), F.col("h.c").alias("hc"))
+    stars = rare.join(hubs, (rare["shingle"] == hubs["shingle"]) & (F.col("c") != F.col("hc"))).select(*pair("node", "hub")).distinct()
+    stars = scratch.save(close(stars).join(tried, ["u", "v"], "left_anti"), "rare_stars")
+    links, tried = scratch.save(links.unionByName(_confirmed(stars, nodes, docs, percent)), "rare_links"), tried.unionByName(stars)
+    joined = components(links, scratch, "again")
+    at = scratch.save(placed(joined), "at_last")
+
+    # every pair that is left: in buckets that aren't crowded, and by rare shingles among the others
+    side = lambda df, on, c, ws: df.select(on, F.col("node").alias(c), F.col("c").alias(f"{c}c"), *[F.col(w).alias(f"{c}{w}") for w in ws])
+    apart = lambda: (F.col("uc") != F.col("vc")) & (F.col("u") > F.col("v"))
+    few = names[:2]
+    l = side(bucket_rows(at, ["node", "c", *few], chunks, width, None).join(crowded, "key", "left_anti"), "key", "v", few)  # noqa: E741
+    r = side(bucket_rows(at, ["node", "c", *few], chunks, width, distance), "key", "u", few)
+    cold = close(r.join(l, (r["key"] == l["key"]) & apart() & (_distance(few, "u", "v") <= prefix)).select("u", "v").distinct())
+    rare = shingles.join(at, "node")
+    mixed = rare.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    l, r = side(rare.join(mixed, "shingle", "left_semi"), "shingle", "v", [*names, "n", "place"]), side(rare, "shingle", "u", [*names, "n", "place"])
+    # with the shingle the first that they share, what follows it on either side must be able to make the overlap
+    overlap = F.ceil((F.col("un") + F.col("vn")) * percent / (100 + percent))
+    reach = (F.col("un") - F.col("uplace") + 1 >= overlap) & (F.col("vn") - F.col("vplace") + 1 >= overlap)
+    hot = r.join(l, (r["shingle"] == l["shingle"]) & apart() & reach & (_distance(names, "u", "v") <= loose)).select("u", "v")
+    left = scratch.save(cold.unionByName(hot).distinct().join(tried, ["u", "v"], "left_anti"), "apart")
+    more = scratch.save(_confirmed(left, nodes, docs, percent), "more")
     merged = components(links.unionByName(more), scratch, "second")
 
     member = nodes.join(merged, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "least_doc")
