@@ -180,3 +180,15 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) ->
 
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
     return near_lines(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+SQL = f"""
+WITH RECURSIVE p AS (SELECT doc_id, i - 1 AS line, ls[i] AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) WHERE length(ls[i]) >= {LEAST}),
+u AS (SELECT s, length(s) AS n, min({{'d': doc_id, 'l': line}}) AS place FROM p GROUP BY s),
+links AS (SELECT a.s AS x, b.s AS y FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + {EDITS} AND (a.n < b.n OR a.s < b.s) WHERE levenshtein(a.s, b.s) <= {EDITS}),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, x AS y FROM edges UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+class AS (SELECT reach.x AS s, min(u.place) AS first FROM reach JOIN u ON u.s = reach.y GROUP BY reach.x),
+degree AS (SELECT x AS s, count(*) AS k FROM edges GROUP BY x)
+SELECT doc_id, line::INT AS line, length(s)::BIGINT AS n_chars, coalesce(first, place).d AS class_doc, (coalesce(first, place).l)::INT AS class_line, coalesce(k, 0)::BIGINT AS n_links, (coalesce(first, place).d = doc_id AND coalesce(first, place).l = line) AS kept
+FROM p JOIN u USING (s) LEFT JOIN class USING (s) LEFT JOIN degree USING (s)"""

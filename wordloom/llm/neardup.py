@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_columns, keyed, renamed_clashes, table, without
+from .common import WORD, Scratch, arrow_columns, keyed, renamed_clashes, table, without
 from .graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -277,3 +277,15 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op9_near_duplicates(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, ["doc_id"]).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= {PERCENT} * (a.n + b.n - k)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT rid AS x, rid AS y FROM d UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+comp AS (SELECT reach.x AS rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (rid) JOIN comp USING (rid)"""

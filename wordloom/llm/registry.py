@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op4_quality": quality.SQL, "op7_line_dedup": lines.SQL, "op9_near_duplicates": neardup.SQL, "op10_decontaminate": decontaminate.SQL}
