@@ -34,6 +34,8 @@ def test_odd_rows(spark, odd):
     assert len(rows) == odd.count() and "kept_in" in rows[0].asDict()
     assert not any(r["kept"] for r in rows)
     assert q.keep_good(odd.withColumn("level", odd.n_chars)).columns == [*odd.columns, "level"]
+    both = odd.withColumn("level", odd.n_chars).withColumn("level_in", odd.text)
+    assert {"level_in", "level_in_in"} <= set(q.quality(both).columns) and q.keep_good(both).columns == both.columns
     assert q.quality(odd.limit(0)).count() == 0
 
 

@@ -81,9 +81,15 @@ class Scratch:
 
 
 def renamed_clashes(df: DataFrame, outputs: list[str], needed: list[str]) -> DataFrame:
-    """``df`` with columns that clash with ``outputs`` (and are not needed) as ``<name>_in``."""
-    names = {c for c in df.columns if c in outputs and c not in needed}
-    return df.select([F.col(f"`{c}`").alias(f"{c}_in" if c in names else c) for c in df.columns])
+    """``df`` with columns that clash with ``outputs`` (and are not needed) as ``<name>_in``, or with more ``_in`` if that is taken."""
+    taken, new = {*df.columns, *outputs}, []
+    for c in df.columns:
+        name = c
+        while name in outputs and c not in needed or name != c and name in taken:
+            name += "_in"
+        taken.add(name)
+        new.append(F.col(f"`{c}`").alias(name))
+    return df.select(new)
 
 
 def lowered(text: Column) -> Column:

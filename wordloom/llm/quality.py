@@ -37,6 +37,7 @@ FEATURES = {
 SALT = 64
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 SYMBOLS = "#*$%&|<>"
+OUTPUTS = [*BASE, "base_failed", "kept", "level", "lang_key", "source_key", "__salt"]
 
 
 def counts(text: str | None) -> tuple[int, ...]:
@@ -134,8 +135,7 @@ def quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Columns of the input whose names clash are returned as ``<name>_in``.
     An empty table gives an empty result; without words a document fails.
     """
-    outs = [*BASE, "base_failed", "kept", "level", "lang_key", "source_key", "__salt"]
-    docs = renamed_clashes(docs, outs, [])
+    docs = renamed_clashes(docs, OUTPUTS, [])
     scratch = Scratch(docs.sparkSession, "quality")
     scored = scratch.save(score(docs, keep), "scored")
     return judge(scored, thresholds(sketches(scored)))
@@ -143,10 +143,9 @@ def quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
-    names = docs.columns
-    clash = {f"{c}_in": c for c in names if c in [*BASE, "base_failed", "kept", "level", "lang_key", "source_key", "__salt"]}
+    own = renamed_clashes(docs, OUTPUTS, [])
     good = quality(docs).filter("kept")
-    return good.select([F.col(f"`{n}`").alias(clash.get(n, n)) for n in renamed_clashes(docs, list(clash.values()), []).columns])
+    return good.select([F.col(f"`{new}`").alias(old) for new, old in zip(own.columns, docs.columns, strict=True)])
 
 
 def op4_quality(spark, sf_dir) -> DataFrame:
