@@ -2,14 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, as
 it leaves them; the last returns the packing. A stage works on what the stage before
-kept, written as Parquet and read again.
+kept, written as Parquet and read again; so a stage first deletes the scratch tables of
+the stages before it, and no DataFrame of theirs can be used after.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm.common import Scratch, table
+from wordloom.llm.common import Scratch, forget, recorded, table
 from wordloom.llm.decontaminate import keep_clean
 from wordloom.llm.lines import without_repeats
 from wordloom.llm.neardup import keep_first
@@ -17,26 +20,41 @@ from wordloom.llm.packing import pack
 from wordloom.llm.quality import keep_good
 
 
+def _stage(work):
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark)
+        with recorded():
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return keep_good(docs)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines stay in the first document that has them; a document that loses all its words goes."""
     return without_repeats(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return keep_first(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
     return pack(docs)

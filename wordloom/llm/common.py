@@ -14,6 +14,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,26 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Folders of the scratch tables made inside ``recorded``; ``forget`` empties the list.
+_made: list[str] = []
+_recording: list[bool] = []
+
+
+@contextmanager
+def recorded():
+    _recording.append(True)
+    try:
+        yield
+    finally:
+        _recording.pop()
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the recorded scratch tables. Only for a caller who knows that nothing that reads them will run again."""
+    while _made:
+        _remove(spark, _made.pop())
+
+
 class Scratch:
     """Tables written once to the shared folder.
 
@@ -68,6 +89,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base, self.paths = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:8]}", {}
+        if _recording:
+            _made.append(self.base)
 
     def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
