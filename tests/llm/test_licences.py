@@ -42,6 +42,37 @@ def test_the_notices_of_the_documents_are_found_and_nothing_else(spark):
         assert (r["families"], r["confirmed"], r["n_unknown"]) == (want, want, 0), (r, texts[r["doc_id"]][:200])
 
 
+MIT = """Copyright (c) 2020 The Authors.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+The fish is in the river."""
+
+
+def test_wrapped_notices_are_one_paragraph(spark, fitted):
+    marks = {"plain": "{}", "slashes": "// {}", "stars": " * {}", "hashes": "# {}"}
+    texts = {(kind, name): "\n".join(mark.format(x).rstrip() for x in text.split("\n")) for name, mark in marks.items() for kind, text in (("mit", MIT), ("bsd", BSD))}
+    texts["mit", "windows"] = MIT.replace("\n", "\r\n")
+    docs = spark.createDataFrame([(f"{k} {n}", t) for (k, n), t in texts.items()], "doc_id string, text string")
+    found = {}
+    for r in l.scan(docs, fitted).filter("family in ('mit', 'bsd')").collect():
+        found.setdefault(r["doc_id"], []).append((r["line"], r["family"], r["confirmed"]))
+    assert found == {f"{k} {n}": [(2 if k == "mit" else 0, k, True)] for k, n in texts}
+
+
+def test_lines_that_end_sentences_are_paragraphs(spark):
+    text = "one two\nthree.\nfour\n\nfive\n//\nsix; \x01\nSeven |\n" + "x" * 121 + "\nend. |\nlast\n"
+    rows = spark.createDataFrame([(text,), ("",), (None,)], "text string").select(l.paragraphs("text").alias("p")).collect()
+    assert [(x["line"], x["s"].split("\x01")) for x in rows[0]["p"]] == [(0, ["one two", "three."]), (2, ["four"]), (3, [""]), (4, ["five"]), (5, ["//"]), (6, ["six; \x02", "Seven |", "x" * 121]), (9, ["end. |"]), (10, ["last"]), (11, [""])]
+    assert [(x["line"], x["s"]) for x in rows[1]["p"]] == [(0, "")] and rows[2]["p"] is None
+
+
 def test_held_out_texts(fitted):
     rng = random.Random(77)
     test = l.examples(rng, [], 3)

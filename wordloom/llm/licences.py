@@ -1,6 +1,9 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines. Features are the words and word pairs (A to Z lower-cased) that
+A paragraph is a line, or several that a notice was wrapped to: a line of at most
+``WRAPPED`` characters that doesn't end a sentence (``.!?:``) goes on in the next, if both
+have words. Comment marks are no words, so a line of them alone parts paragraphs. A
+sentence that ends with a line ends the paragraph. Features are the words and word pairs (A to Z lower-cased) that
 occur in the templates; each counts once a paragraph. A multinomial logistic
 regression gives each family, and the class ``none``, a probability. It is fitted on
 the driver, on texts made from the templates (whole, cut short, and inside other
@@ -23,7 +26,7 @@ import re
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORD, Scratch, renamed_clashes, table, words_of
@@ -94,6 +97,11 @@ The right to copy was granted, and the work is subject to change as published.""
 FAMILIES = ["none", *TEMPLATES]
 CUES = r"\b(licen[sc]e[ds]?|copyright|rights|redistribut\w*|gpl|mit|bsd|apache|mozilla|eclipse|commons|cc0?|public|permission)\b"
 SAMPLE, CONFIRM, SEED = 1000, 0.7, 3
+#: The widest line that may go on in the next.
+WRAPPED = 120
+_SIGN = r"0-9A-Za-z\x80-\x{10FFFF}"
+#: A line's end within a paragraph, in Java's syntax; what the line before holds is looked at only here.
+INNER_END = rf"\n(?<=(?:\A|\n)(?=[^\n]*[{_SIGN}])[^\n]{{1,{WRAPPED}}}\n)(?<![.!?:][^{_SIGN}\n]{{0,20}}\n)(?=[^\n]*[{_SIGN}])"
 STEPS, RATE, RIDGE = 300, 2.0, 2e-4
 
 
@@ -197,6 +205,14 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> tuple[str, ...]:
     return tuple(r["s"] for r in lines.orderBy("doc_id", "i", "s").limit(most).collect())
 
 
+def paragraphs(text: Column | str) -> Column:
+    """Array of line (the first, from 0) and s, in which a byte of 1 stands for each line's end."""
+    marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), INNER_END, "\x01")
+    ends = F.regexp_extract_all(marked, F.lit("[\\n\\x01]"), F.lit(0))
+    starts = F.concat(F.array(F.lit(0)), F.array_compact(F.transform(ends, lambda x, i: F.when(x == "\n", i + 1))))
+    return F.arrays_zip(starts.alias("line"), F.split(marked, "\n", -1).alias("s"))
+
+
 def _look_up(spark: SparkSession, weights: np.ndarray) -> DataFrame:
     """first, features: for each word, the features that begin with it, as id and second word."""
     by: dict[str, list] = {}
@@ -206,7 +222,7 @@ def _look_up(spark: SparkSession, weights: np.ndarray) -> DataFrame:
 
 
 def scan(docs: DataFrame, fitted: tuple[np.ndarray, float] | None = None) -> DataFrame:
-    """A row for each paragraph that is a licence: doc_id, text_key, line, family, probability, similarity, confirmed.
+    """A row for each paragraph that is a licence: doc_id, text_key, line (its first), family, probability, similarity, confirmed.
 
     family is ``unknown`` where none is sure; probability is that of being a licence
     times that of the family among families; similarity is the largest share of a
@@ -217,7 +233,7 @@ def scan(docs: DataFrame, fitted: tuple[np.ndarray, float] | None = None) -> Dat
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     weights, least = fitted or model(sample(docs))
     key = ["doc_id", "text_key", "line"]
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("line", "s")).select(*key, words_of(F.col("s"), ALNUM_WORD).alias("w"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(paragraphs(ascii_lower(F.col("text")))).alias("p")).select("doc_id", "text_key", "p.line", "p.s").select(*key, words_of(F.col("s"), ALNUM_WORD).alias("w"))
     pairs = lines.select(*key, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p")).select(*key, F.col("p.a").alias("first"), F.col("p.b").alias("next"))
     looked = pairs.join(F.broadcast(_look_up(spark, weights)), "first")  # as many rows as templates have words
     found = looked.select(*key, "next", F.explode("features").alias("f")).filter((F.col("f.second") == "") | (F.col("f.second") == F.col("next"))).select(*key, F.col("f.id").alias("id")).distinct()
