@@ -57,3 +57,21 @@ def test_odd_rows(spark):
     assert len(got) == 4 and {r["text_in"] for r in got} == set("xyzw")
     assert [r["text"] for r in got][:2] == ["", ""] and got[3]["text"] == "T\n\nOne two three. Four five."
     assert h.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
+
+
+def texts(page):
+    return [b.text for b in h.blocks(page)]
+
+
+def test_a_head_ends_where_something_else_begins():
+    for start in ("<body>", "<body><p>", "<div>", "<p>", ""):
+        assert texts(f"<html><head><meta charset=utf-8><title>no</title><script>no</script>{start}one</html>") == ["one"], start
+    assert texts("<head><template><p>no</p></template><noscript>no</noscript><link rel=x></head><body>one") == ["one"]
+
+
+def test_stray_quotes_end_with_their_tag():
+    for tag in ('p class="x""', "p title=it's", 'p "', "p class=x'y\"", 'p a="1"b', "p = '", "p a='>' b=\">\"", "p a = \">\""):
+        assert texts(f"<p>one</p><{tag}>two</p><p>three</p>") == ["one", "two", "three"], tag
+        assert texts(f"<p>one</p><{tag}>two's</p><p>three</p>")[1:] == ["two's", "three"], tag
+    assert texts('<p>one</p><p class="x>two</p><p>three</p>') == ["one", "two", "three"]
+    assert texts("<p>one</p><p class=x two") == ["one"]

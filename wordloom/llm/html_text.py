@@ -33,11 +33,15 @@ SMOOTH, FADE = 1.2, 0.5
 #: What is left of an edge between blocks of which one alone is in something that is named as no content.
 BORDER = 0.2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*+>|<(?=[a-zA-Z/!?])", re.S)
+#: A quote opens a value only after an equals sign; one that never closes is part of a name, so its tag ends at the next >.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:{_VALUE})?+)*+)>|<[/!?][^>]*+>|<(?=[a-zA-Z/!?])", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Their contents are never text.
 HIDDEN = frozenset("script style noscript template head title select textarea button iframe object svg canvas audio video map datalist".split())
+#: What else opens in a head ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening element of these closes an open one of the same group first.
@@ -89,8 +93,14 @@ def blocks(page: str | None) -> list[Block]:
                 block = None
         del stack[k:]
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     def add(raw: str) -> None:
         nonlocal block
+        if hidden and not raw.isspace() and raw:
+            end_head()
         if hidden or not raw:
             return
         if block is None:
@@ -127,6 +137,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if kind:
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in CLOSES or tag in BLOCKS:
             ends = CLOSES.get(tag, ()) if tag in CLOSES else ("p",)
             for k in range(len(stack) - 1, -1, -1):
