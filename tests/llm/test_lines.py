@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from wordloom.llm import lines as m
+from wordloom.llm.common import Scratch
 
 
 def edit_distance(a, b):
@@ -79,6 +81,46 @@ def test_repeats_go_and_the_first_stays(spark):
 
 def test_odd_rows(spark, odd):
     got = m.near_lines(odd.withColumn("kept", odd.n_chars).withColumn("place", odd.text)).collect()
-    assert {r["doc_id"] for r in got} == {4, 5} and all(r["kept"] for r in got)
+    told = sorted((r["doc_id"] or 0, r["line"], r["kept"]) for r in got)
+    assert told == [(0, 0, True), (4, 0, True), (5, 0, True), (6, 0, True), (6, 1, True), (7, 0, True), (7, 1, False), (8, 0, False), (8, 1, False)]
     assert m.near_lines(odd.limit(0)).count() == 0 and m.without_repeats(odd.limit(0)).columns == odd.columns
-    assert m.without_repeats(odd).count() == odd.count()
+    out = [(r["doc_id"], r["text"]) for r in m.without_repeats(odd).collect()]
+    assert len(out) == odd.count() - 1 and (7, "same text") in out and 8 not in {d for d, _ in out}
+
+
+def test_query_is_its_sql(spark):
+    d = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    got = m.op7_line_dedup(spark, d).toPandas()
+    want = db.sql(m.SQL).df()[list(got.columns)]
+    assert got.sort_values(["doc_id", "line"]).values.tolist() == want.sort_values(["doc_id", "line"]).values.tolist()
+
+
+def test_short_lines_allow_fewer_edits(spark):
+    words = ["x" * n for n in (5, 6, 17, 18, 19, 35, 36, 38)]
+    rows = [(i, w) for i, w in enumerate(words)]
+    rows += [(100 + i, w[:-1] + "y") for i, w in enumerate(words)] + [(200 + i, "z" + w[:-1] + "y") for i, w in enumerate(words)]
+    got = {r["doc_id"]: r["n_links"] for r in m.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lines = dict(rows)
+    for d, s in lines.items():
+        near = {t for t in lines.values() if t != s and edit_distance(s, t) <= min(2, min(len(s), len(t)) // m.A_STEP)}
+        assert got[d] == len(near), (s, near)
+
+
+def test_template_lines_cost_in_proportion(spark, monkeypatch):
+    """Lines of one opening and random ends: no table grows with the square of their number."""
+    rng, sizes, save = random.Random(1), [], Scratch.save
+
+    def counted(self, df, name, **how):
+        out = save(self, df, name, **how)
+        sizes[-1][name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    opening = "One opening of many characters that every line from a template has "
+    for n in (5_000, 50_000):
+        sizes.append({})
+        rows = [(i, opening + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(30, 50)))) for i in range(n)]
+        assert m.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("kept").count() == n
+    assert all(rows <= 12 * max(1000, sizes[0][name]) for name, rows in sizes[1].items() if name in sizes[0])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.llm import neardup as n
 
 
-def brute(texts):
+def brute(texts, percent=85):
     """doc_id -> (set size, component) by comparing all pairs that share a shingle, on strings."""
     sets = {}
     for d, t in texts.items():
@@ -28,7 +28,7 @@ def brute(texts):
     pairs = {(a, b) for own in by.values() for i, a in enumerate(own) for b in own[i + 1 :]}
     for a, b in pairs:
         both = len(sets[a] & sets[b])
-        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {d: (len(s), find(d)) for d, s in sets.items()}

@@ -15,6 +15,7 @@ import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,47 +61,50 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Folders of the scratch tables made inside ``recorded``; ``forget`` empties the list.
-_made: list[str] = []
-_recording: list[bool] = []
+_owner: ContextVar[list | None] = ContextVar("owner", default=None)
 
 
 @contextmanager
-def recorded():
-    _recording.append(True)
+def owned():
+    """Deletes at its end the scratch tables that were made inside. For a caller who has saved whatever is read of them."""
+    made: list[Scratch] = []
+    token = _owner.set(made)
     try:
         yield
     finally:
-        _recording.pop()
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes the recorded scratch tables. Only for a caller who knows that nothing that reads them will run again."""
-    while _made:
-        _remove(spark, _made.pop())
+        _owner.reset(token)
+        for scratch in made:
+            _remove(scratch.spark, scratch.base)
 
 
 class Scratch:
     """Tables written once to the shared folder.
 
     A written table cuts the lineage, is computed once and outlives the executors
-    that made it. ``drop`` frees one that no later step reads.
+    that made it. ``drop`` frees one that no later step reads. What a result reads lives
+    until the session ends, unless a caller who knows better ``owned`` it.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base, self.paths = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:8]}", {}
-        if _recording:
-            _made.append(self.base)
+        self.made = 0
+        if (made := _owner.get()) is not None:
+            made.append(self)
 
     def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        self.made += 1
+        path = f"{self.base}/{name}-{self.made}"
         df.write.parquet(path, compression=compression)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _remove(self.spark, self.paths[name])
+            _remove(self.spark, self.paths.pop(name))
+
+    def only(self, *names: str) -> None:
+        """Drops all but these: what an operator's result still reads."""
+        self.drop(*[n for n in self.paths if n not in names])
 
 
 def renamed_clashes(df: DataFrame, outputs: list[str], needed: list[str]) -> DataFrame:

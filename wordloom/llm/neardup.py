@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, percent: int
     signs = scratch.save(nodes.join(met, "node").select("node", "met", *names), "signs")
     sig = lambda c: signs.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}{w}") for w in names])
     close = lambda pairs: pairs.join(sig("u"), "u").join(sig("v"), "v").filter(_distance(names, "u", "v") <= loose).select("u", "v")
-    hubs = shared.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("hub"))
+    hubs = scratch.save(shared.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("hub")), "hubs")  # written, so that a large bucket's join can be split
     best = shared.join(hubs, "key").groupBy("node").agg(F.max("hub")["node"].alias("hub")).filter("node <> hub")
     tried = scratch.save(close(best.select(*apart("node", "hub")).distinct()), "stars")
     texts = scratch.save(texts_of(met.select("node"), nodes, docs), "texts", compression="zstd")
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, percent: int
 
     rare = shingles.join(placed(joined).select("node", "c", "met"), "node")
     hubs = rare.groupBy("shingle").agg(F.max(F.struct("met", "node", "c", "n", "place")).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    hubs = hubs.select("shingle", F.col("h.met").alias("hmet"), F.col("h.node").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.place").alias("hplace"))
+    hubs = scratch.save(hubs.select("shingle", F.col("h.met").alias("hmet"), F.col("h.node").alias("hub"), F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.place").alias("hplace")), "rare_hubs")
     best = rare.join(hubs, (rare["shingle"] == hubs["shingle"]) & (F.col("c") != F.col("hc")) & reach("", "h")).groupBy("node").agg(F.max(F.struct("hmet", "hub"))["hub"].alias("hub"))
     stars = scratch.save(close(best.select(*apart("node", "hub")).distinct()).join(tried, ["u", "v"], "left_anti"), "rare_stars")
     links = scratch.save(links.unionByName(_confirmed(stars, texts, percent)), "rare_links")
@@ -298,9 +298,11 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, percent: int
     member = nodes.join(merged, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "least_doc")
     least = member.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     member = member.join(least, "component").select("set_key", "component_id")
-    out = rows.join(member, "set_key", "left")
+    out = rows.select(*[F.col(f"`{c}`") for c in light], "n_shingles", "set_key").join(scratch.save(member, "member"), "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
+    out = scratch.save(out.select(*[F.col(f"`{c}`") for c in keep], "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept")), "out")
+    scratch.only("out")
+    return out
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
