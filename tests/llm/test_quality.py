@@ -29,6 +29,20 @@ def test_junk_goes_and_clean_stays(spark):
     assert kept[1] >= 0.99 * total[1] and kept.get(0, 0) <= 0.05 * total[0]
 
 
+def test_fences_come_from_the_sketches_and_decide(spark):
+    """They differ between groups, and with one group's fences for all others verdicts change."""
+    d = "/root/testdata/sf0.1"
+    scored = q.score(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source"), ["doc_id", "lang", "source"])
+    rows = q.Scratch(spark, "test").save(scored, "scored")
+    fences = q.thresholds(q.sketches(rows)).toPandas()
+    # sources of fewer than 100 documents share their language's
+    assert fences["repeats_high"].nunique() >= 10 and fences["length_high"].nunique() >= 3
+    lone = fences.sort_values("repeats_high").iloc[[0]].drop(columns=["lang_key", "source_key"])
+    same = spark.createDataFrame(fences[["lang_key", "source_key"]].merge(lone, how="cross"))
+    own, other = (dict(q.judge(rows, f).select("doc_id", "kept").collect()) for f in (q.thresholds(q.sketches(rows)), same))
+    assert any(own[k] != other[k] for k in own)
+
+
 def test_odd_rows(spark, odd):
     rows = q.quality(odd.withColumn("kept", odd.n_chars)).collect()
     assert len(rows) == odd.count() and "kept_in" in rows[0].asDict()

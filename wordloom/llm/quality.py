@@ -6,10 +6,13 @@ sketches: counts of values in buckets whose bounds grow by a constant ratio, so
 that a quantile is right to ``ACCURACY`` and sketches merge by adding counts.
 Sketches of language and source are merged into those of the language and of the
 whole corpus; a group with fewer than ``LEAST`` documents takes the next wider
-sketch. A document is kept if each feature lies inside fences around the median:
-``SPREAD`` times the distance from the median to the quartile, or the feature's
-resolution if that is more. Documents that fail the base rule are rejected
-before, and don't count in the sketches.
+sketch. A fence lies ``SPREAD`` times as far from the group's median as an upper quantile
+does (for word length the quartiles, on either side), so it is the sketches alone that
+say how much is usual in a group. What a short document shows of a group's rate is
+uncertain: a document is rejected if it lies outside the fences by more than ``ERRORS``
+standard errors of its own counts (of a count, in units that can't come apart; of a
+mean word length). Documents that fail the base rule are rejected before, and don't
+count in the sketches.
 """
 
 from __future__ import annotations
@@ -24,15 +27,12 @@ from pyspark.sql import Window as W
 
 from .common import WORD, Scratch, arrow_columns, renamed_clashes, table
 
-ACCURACY, SPREAD, LEAST = 0.01, 3.0, 100
+ACCURACY, SPREAD, LEAST, ERRORS = 0.01, 4.0, 100, 4.0
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: Feature: (its expression, resolution, whether values below the lower fence are rejected too).
-FEATURES = {
-    "symbols": ("n_symbols / n_words", 0.15, False),
-    "lines": ("n_dup_lines / n_lines", 0.5, False),
-    "repeats": ("n_repeat_words / n_words", 0.4, False),
-    "length": ("word_chars / n_words", 2.5, True),
-}
+#: Feature: (what is counted, out of how many, upper quantile, unit). A repeat is two windows of three words at least.
+FEATURES = {"symbols": ("n_symbols", "n_words", 0.75, 1), "lines": ("n_dup_lines", "n_lines", 0.9, 1), "repeats": ("n_repeat_words", "n_words", 0.9, 6), "length": ("word_chars", "n_words", 0.75, None)}
+#: Standard deviation of the length of words within a text; length alone has a lower fence too.
+LENGTHS = 2.0
 #: Copies of each threshold row, so that a source with most rows spreads over tasks.
 SALT = 64
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -78,7 +78,7 @@ def _group(name: str):
 
 def sketches(scored: DataFrame) -> DataFrame:
     """lang_key, source_key, feature, bucket, n: bucket null holds zeros, i holds (gamma^(i-1), gamma^i]."""
-    pairs = ", ".join(f"'{name}', CAST({expr} AS DOUBLE)" for name, (expr, _, _) in FEATURES.items())
+    pairs = ", ".join(f"'{name}', CAST({count} / {of} AS DOUBLE)" for name, (count, of, _, _) in FEATURES.items())
     values = (
         scored.filter(~F.col("base_failed"))
         .select(_group("lang").alias("lang_key"), _group("source").alias("source_key"), F.expr(f"stack({len(FEATURES)}, {pairs}) AS (feature, value)"))
@@ -88,14 +88,15 @@ def sketches(scored: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Lower quartile, median and upper quartile of each feature, and the number of values."""
+    """Lower quartile, median and upper quantile of each feature, and the number of values."""
     buckets = sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "feature")
     running = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     ranked = buckets.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(group))
     value = F.coalesce(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (1 + GAMMA)), F.lit(0.0))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), value))
-    return ranked.groupBy(*keys, "feature").agg(F.max("total").alias("total"), at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), value))
+    upper = F.element_at(F.create_map(*[F.lit(x) for name, (_, _, q, _) in FEATURES.items() for x in (name, q)]), F.col("feature"))
+    return ranked.groupBy(*keys, "feature").agg(F.max("total").alias("total"), at(F.lit(0.25)).alias("low"), at(F.lit(0.5)).alias("mid"), at(upper).alias("high"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -108,21 +109,27 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     pick = lambda c: F.when(F.col("level") == "source", F.col(c)).when(F.col("level") == "language", F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
     wide = wide.withColumn("level", level).select("lang_key", "source_key", "feature", "level", *[pick(c).alias(c) for c in ("low", "mid", "high")])
     fences = []
-    for name, (_, least, both) in FEATURES.items():
+    for name in FEATURES:
         one = lambda c, name=name: F.max(F.when(F.col("feature") == name, c))
-        down = F.col("mid") - F.greatest(F.lit(least), SPREAD * (F.col("mid") - F.col("low")))
-        fences += [one(down if both else F.lit(-1.0)).alias(f"{name}_low"), one(F.col("mid") + F.greatest(F.lit(least), SPREAD * (F.col("high") - F.col("mid")))).alias(f"{name}_high")]
+        fences += [one(F.col("mid") - SPREAD * (F.col("mid") - F.col("low"))).alias(f"{name}_low"), one(F.col("mid") + SPREAD * (F.col("high") - F.col("mid"))).alias(f"{name}_high")]
     return wide.groupBy("lang_key", "source_key").agg(F.max("level").alias("level"), *fences)
 
 
+def _inside(name: str) -> str:
+    """SQL (Spark's and DuckDB's): whether a document lies inside a feature's fences, but for the error of its own counts."""
+    count, of, _, unit = FEATURES[name]
+    number = lambda x: f"CAST({x!r} AS DOUBLE)"
+    if unit is None:
+        error = f"{number(ERRORS * LENGTHS)} * sqrt({of})"
+        return f"({count} BETWEEN {name}_low * {of} - {error} AND {name}_high * {of} + {error})"
+    return f"({count} <= {name}_high * {of} + {number(ERRORS)} * sqrt({unit} * {name}_high * {of} + {unit * unit}))"
+
+
 def judge(scored: DataFrame, fences: DataFrame) -> DataFrame:
     """``scored`` with kept and level; rows of a group without fences all fail the base rule."""
     salted = fences.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rows = scored.withColumns({"lang_key": _group("lang"), "source_key": _group("source"), "__salt": F.pmod(F.xxhash64(*[c for c in ("doc_id", *BASE) if c in scored.columns]), F.lit(SALT)).cast("int")})
-    inside = F.lit(True)
-    for name, (expr, _, _) in FEATURES.items():
-        value = F.expr(expr.replace("/", "/ nullif(") + ", 0)")
-        inside = inside & F.coalesce(value.between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
+    inside = F.expr(" AND ".join(f"coalesce({_inside(name)}, false)" for name in FEATURES))
     judged = rows.join(salted, ["lang_key", "source_key", "__salt"], "left")
     out = [F.col(f"`{c}`") for c in scored.columns]
     return judged.select(*out, (~F.col("base_failed") & inside).alias("kept"), F.coalesce("level", F.lit("none")).alias("level"))
@@ -154,24 +161,18 @@ def op4_quality(spark, sf_dir) -> DataFrame:
 
 
 def _sql() -> str:
-    def ratio(name):
-        a, b = FEATURES[name][0].split(" / ")
-        return f"{a}::DOUBLE / nullif({b}, 0)"
-
-    stack = " UNION ALL ".join(f"SELECT lang_key, source_key, '{f}' AS feature, {ratio(f)} AS value FROM good" for f in FEATURES)
+    stack = " UNION ALL ".join(f"SELECT lang_key, source_key, '{f}' AS feature, {count}::DOUBLE / nullif({of}, 0) AS value FROM good" for f, (count, of, _, _) in FEATURES.items())
+    upper = "CASE feature " + " ".join(f"WHEN '{f}' THEN {q}" for f, (_, _, q, _) in FEATURES.items()) + " END"
 
     def quant(name, keys):
         by = ", ".join([*keys, "feature"])
         return f"""{name}_b AS (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY {by}, bucket),
         {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}) AS total, coalesce(pow({GAMMA!r}::DOUBLE, bucket) * {2 / (1 + GAMMA)!r}::DOUBLE, 0.0::DOUBLE) AS v FROM {name}_b),
-        {name} AS (SELECT {by}, max(total) AS total, {", ".join(f"min(CASE WHEN upto >= ceil({q} * total) THEN v END) AS {c}" for q, c in ((0.25, "low"), (0.5, "mid"), (0.75, "high")))} FROM {name}_r GROUP BY {by})"""
+        {name} AS (SELECT {by}, max(total) AS total, {", ".join(f"min(CASE WHEN upto >= ceil({q} * total) THEN v END) AS {c}" for q, c in ((0.25, "low"), (0.5, "mid"), (upper, "high")))} FROM {name}_r GROUP BY {by})"""
 
     pick = ", ".join(f"CASE WHEN s.total >= {LEAST} THEN s.{c} WHEN l.total >= {LEAST} THEN l.{c} ELSE a.{c} END AS {c}" for c in ("low", "mid", "high"))
-    fences = ", ".join(
-        f"max(CASE WHEN feature = '{f}' THEN {f'mid - greatest({least}::DOUBLE, {SPREAD}::DOUBLE * (mid - low))' if both else '-1.0'} END) AS {f}_low, max(CASE WHEN feature = '{f}' THEN mid + greatest({least}::DOUBLE, {SPREAD}::DOUBLE * (high - mid)) END) AS {f}_high"
-        for f, (_, least, both) in FEATURES.items()
-    )
-    inside = " AND ".join(f"coalesce({ratio(f)} BETWEEN {f}_low AND {f}_high, false)" for f in FEATURES)
+    fences = ", ".join(f"max(CASE WHEN feature = '{f}' THEN mid - {SPREAD}::DOUBLE * (mid - low) END) AS {f}_low, max(CASE WHEN feature = '{f}' THEN mid + {SPREAD}::DOUBLE * (high - mid) END) AS {f}_high" for f in FEATURES)
+    inside = " AND ".join(f"coalesce({_inside(f)}, false)" for f in FEATURES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, chr(0)) AS lang_key, coalesce(source, chr(0)) AS source_key FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws, string_split(text, chr(10)) AS ls FROM d),
