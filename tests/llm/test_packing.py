@@ -50,6 +50,38 @@ def test_ids_match_the_tokenizers_library():
         assert e(text).tolist() == e.plain(text)
 
 
+def test_the_query_takes_the_librarys_default_for_special_tokens(spark, tmp_path):
+    text = "one <|endoftext|> two"
+    spark.createDataFrame([(1, text), (2, "漢字" + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    for r in op1_packing(spark, str(tmp_path)).collect():
+        ids = library.encode(text if r["doc_id"] == 1 else "漢字" + text, add_special_tokens=False).ids + [0]
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and 50256 in ids
+
+
+def test_tiny_tables_take_the_fewest_sequences():
+    """Against all partitions of a few pieces."""
+    rng = np.random.default_rng(8)
+
+    def fewest(left, rooms, most):
+        if not left:
+            return len(rooms)
+        best = most
+        for i in range(len(rooms)):
+            if rooms[i] >= left[0] and rooms.index(rooms[i]) == i:
+                best = min(best, fewest(left[1:], [r - left[0] * (j == i) for j, r in enumerate(rooms)], best))
+        return min(best, fewest(left[1:], [*rooms, 2048 - left[0]], best)) if len(rooms) + 1 < best else best
+
+    total = least = 0
+    for _ in range(60):
+        lengths = sorted(rng.integers(200, 1500, 8).tolist(), reverse=True)
+        p = Plan(dict(zip(*map(list, map(np.ndarray.tolist, np.unique(lengths, return_counts=True))))))
+        want = fewest(lengths, [], 9)
+        assert want <= p.sequences <= want + 1
+        total, least = total + p.sequences, least + want
+    assert total <= 1.05 * least
+
+
 def test_plan_places_every_piece_once():
     rng = np.random.default_rng(3)
     for n, top in ((1, 2047), (50, 2047), (3000, 2047), (3000, 100), (500, 1200)):

@@ -46,10 +46,12 @@ class Encoder:
     """Ids of the byte-level BPE of ``json_path``, as the tokenizers library gives them.
 
     Texts in Latin script go through the same vocabulary as ranks (``rank_path``), which
-    is several times faster and gives the same ids; a test compares the two.
+    is several times faster and gives the same ids; a test compares the two. Special
+    tokens written out in a text are plain text, or, with ``special``, the library's
+    own default: their ids.
     """
 
-    def __init__(self, json_path: str | None = None, rank_path: str | None = None):
+    def __init__(self, json_path: str | None = None, rank_path: str | None = None, special: bool = False):
         import base64
 
         import public_tokenizers as files
@@ -59,20 +61,25 @@ class Encoder:
         with open(rank_path or files.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = None
+        self.slow, self.special, self.names = None, special, None
+        if special:
+            self.names = re.compile("|".join(re.escape(t.content) for t in self._library().get_added_tokens_decoder().values()) or r"(?!)")
+
+    def _library(self):
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.json_path)
+            self.slow.encode_special_tokens = not self.special
+        return self.slow
 
     def __call__(self, text: str) -> np.ndarray:
-        if not _OTHER_SCRIPTS.search(text):
+        if not _OTHER_SCRIPTS.search(text) and not (self.names and self.names.search(text)):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.plain(text), np.uint32)
 
     def plain(self, text: str) -> list[int]:
-        if self.slow is None:
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_file(self.json_path)
-            self.slow.encode_special_tokens = True
-        return self.slow.encode(text, add_special_tokens=False).ids
+        return self._library().encode(text, add_special_tokens=False).ids
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -81,7 +88,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, special: bool = False) -> DataFrame:
     """The pieces of every document, with ids (array of int) if asked for.
 
     ``__part`` and ``__rank`` number the pieces of each length within a partition;
@@ -97,7 +104,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) ->
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, encode, seen, part = to_arrow_schema(schema), Encoder(), Counter(), TaskContext.get().partitionId()
+        arrow, encode, seen, part = to_arrow_schema(schema), Encoder(special=special), Counter(), TaskContext.get().partitionId()
         for b in batches:
             rows = [[] for _ in schema]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -278,15 +285,16 @@ def _look_up(plan: Plan):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, special: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
 
     Needs doc_id and text and takes no other column. A null text is empty: one piece
     that holds the end id. A null or repeated doc_id is a document like any other. An
-    empty table gives an empty result. Full pieces have negative sequence ids.
+    empty table gives an empty result. Full pieces have negative sequence ids. A special
+    token that a text writes out is plain text, or with ``special`` its own id.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    made = scratch.save(pieces(docs, capacity, with_ids), "pieces")
+    made = scratch.save(pieces(docs, capacity, with_ids, special), "pieces")
     per_part = made.filter(F.col("length") < capacity).groupBy("length", "__part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # fewer than capacity rows
     before = W.partitionBy("length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -299,4 +307,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> D
 
 
 def op1_packing(spark, sf_dir) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    """Ids as the tokenizers library gives them by default, where only ``add_special_tokens`` is turned off."""
+    return pack(table(spark, sf_dir, "documents"), special=True)
