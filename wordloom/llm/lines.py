@@ -168,8 +168,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     # keys that several lines have, counted with partial sums and joined back
     own = [j for j, (_, shorter, _, shift) in enumerate(probes(edits)) if (shorter, shift) == (0, 0)]
     places = nodes.select("node", F.posexplode(F.array(*keys)).alias("j", "key")).filter("key is not null")
-    many = places.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.col("j").isin(own)).alias("indexed")).filter("lo < hi and indexed").select("key")
-    shared = scratch.save(places.join(scratch.save(many, "many"), "key").select("key", "node", "j"), "shared")
+    many = places.groupBy("key").agg(F.count("*").alias("many"), F.max(F.col("j").isin(own)).alias("indexed")).filter("many > 1 and indexed").select("key")
+    shared = scratch.save(places.join(scratch.save(many, "many").hint("merge"), "key").select("key", "node", "j"), "shared")  # they grow with the lines
     wanted = scratch.save(nodes.join(shared.select("node").distinct(), "node").select("node", F.col("place.doc_id").alias("d"), F.col("place.text_key").alias("t"), F.col("place.line").alias("line")), "wanted")
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted.hint("merge"), (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     texts = scratch.save(found.select("node", F.get(F.split("text", "\n", -1), F.col("line")).alias("s")).groupBy("node").agg(F.min("s").alias("s")), "texts")
