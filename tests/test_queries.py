@@ -25,7 +25,6 @@ def test_entry(spark):
         assert {"pipeline"} <= set(entry.queries()) and sum(k.startswith("op") and k[2].isdigit() for k in entry.queries()) == 10
 
 
-#: Two rows of this scale share every column of the lines' order.
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_is_its_sql(spark, db, name):
     got, want = registry.queries()[name](spark, D), db.sql(registry.oracle_sql()[name])

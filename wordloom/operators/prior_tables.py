@@ -78,10 +78,10 @@ def observations(spark, d) -> DataFrame:
 
 def back_off_counts(obs: DataFrame) -> DataFrame:
     """level, context and cnt at three levels, from one pass: dropped features are -1."""
-    obs.createOrReplaceTempView("__observations")
     return obs.sparkSession.sql(
         "SELECT CASE WHEN grouping(depth) = 0 THEN 0 WHEN grouping(slot) = 0 THEN 1 ELSE 2 END AS level, parent, coalesce(slot, -1) AS slot, coalesce(depth, -1) AS depth, production, count(*) AS cnt "
-        "FROM __observations GROUP BY GROUPING SETS ((parent, slot, depth, production), (parent, slot, production), (parent, production))"
+        "FROM {obs} GROUP BY GROUPING SETS ((parent, slot, depth, production), (parent, slot, production), (parent, production))",
+        obs=obs,
     )
 
 

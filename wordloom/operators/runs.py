@@ -22,9 +22,10 @@ LOG = "r AS (SELECT o_custkey AS run_id, o_orderkey AS seq, o_orderpriority AS m
 
 
 def aggregate(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of bytes and time, the largest memory, and the ratio in percent."""
+    """Sums of bytes and time, the largest memory, the ratio in percent and the throughput (null without time)."""
     one = runs.filter("status = 'ok'").groupBy(*keys).agg(F.sum("source_bytes").alias("source_bytes"), F.sum("output_bytes").alias("output_bytes"), F.sum("wall_ms").alias("wall_ms"), F.max("rss").alias("rss"))
-    return one.withColumn("archive_percent", F.round(100 * F.col("output_bytes") / F.col("source_bytes"), 6))
+    one = one.withColumn("archive_percent", F.round(100 * F.col("output_bytes") / F.col("source_bytes"), 6))
+    return one.withColumn("throughput_gib_s", F.col("source_bytes") * F.lit(1000.0) / F.expr("nullif(wall_ms, 0)") / F.lit(float(1 << 30)))
 
 
 def latest(runs: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def verified(runs: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "bench_aggregate": (lambda s, d: aggregate(log(s, d), ["checkpoint", "method"]), f"WITH {LOG} SELECT checkpoint, method, sum(source_bytes)::BIGINT AS source_bytes, sum(output_bytes)::BIGINT AS output_bytes, sum(wall_ms)::BIGINT AS wall_ms, max(rss) AS rss, round(100 * sum(output_bytes) / sum(source_bytes), 6) AS archive_percent FROM r WHERE status = 'ok' GROUP BY ALL"),
+    "bench_aggregate": (lambda s, d: aggregate(log(s, d), ["checkpoint", "method"]), f"WITH {LOG} SELECT checkpoint, method, sum(source_bytes)::BIGINT AS source_bytes, sum(output_bytes)::BIGINT AS output_bytes, sum(wall_ms)::BIGINT AS wall_ms, max(rss) AS rss, round(100 * sum(output_bytes) / sum(source_bytes), 6) AS archive_percent, sum(source_bytes)::BIGINT::DOUBLE * 1000::DOUBLE / nullif(sum(wall_ms), 0)::BIGINT::DOUBLE / 1073741824::DOUBLE AS throughput_gib_s FROM r WHERE status = 'ok' GROUP BY ALL"),
     "bench_latest": (lambda s, d: latest(log(s, d)), f"WITH {LOG} SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) = 1"),
     "bench_pivot": (lambda s, d: pivoted(log(s, d)), f"WITH {LOG} SELECT method, " + ", ".join(f"(sum(wall_ms) FILTER (operation = '{o}' AND cache = '{c}'))::BIGINT AS {o}_{c}" for o in ("compress", "decompress") for c in ("cold", "hot")) + " FROM r WHERE status = 'ok' GROUP BY method"),
     "bench_matrix": (lambda s, d: matrix(log(s, d)), f"WITH {LOG} SELECT c.checkpoint, m.method, coalesce(max(r.status), 'missing') AS status, count(*) FILTER (r.status = 'ok') AS ok FROM (SELECT DISTINCT checkpoint FROM r) c CROSS JOIN (SELECT DISTINCT method FROM r) m LEFT JOIN r ON r.checkpoint = c.checkpoint AND r.method = m.method GROUP BY ALL"),

@@ -36,7 +36,7 @@ def program_size(p: program.Node) -> int:
 
 
 def spread(tensors: DataFrame) -> DataFrame:
-    """Tensors over tasks by size: the largest first, one task never gets two of the largest."""
+    """Tensors over four tasks a core by a hash of their place, the largest of a task first; two large ones may meet."""
     n = tensors.sparkSession.sparkContext.defaultParallelism * 4
     return tensors.repartition(n, "path", "ord").sortWithinPartitions(F.length("data").desc())
 
@@ -89,14 +89,18 @@ def verify(archive: DataFrame, tensors: DataFrame) -> DataFrame:
 
 
 def select_for_calibration(tensors: DataFrame, most: int = CALIBRATION) -> DataFrame:
-    """The first of each type and power of two of bytes, by turns from both ends; then the others from both ends of the files."""
-    sized = tensors.withColumn("__bucket", F.length(F.bin(F.greatest(F.length("data"), F.lit(1)))) - 1)
+    """The first of each type and power of two of bytes, by turns from both ends; then the others from both ends of the files.
+
+    Lengths alone are ranked; the tensors picked, ``most`` at most, are then looked up.
+    """
+    sized = tensors.select("path", "ord", "dtype", F.length("data").alias("__n")).withColumn("__bucket", F.length(F.bin(F.greatest("__n", F.lit(1)))) - 1)
     first = sized.withColumn("__r", F.row_number().over(W.partitionBy("dtype", "__bucket").orderBy("path", "ord")))
     up, down = W.partitionBy("dtype", "__lead").orderBy("__bucket"), W.partitionBy("dtype", "__lead").orderBy(F.col("__bucket").desc())
     ranked = first.withColumn("__lead", F.col("__r") == 1)
     turn = F.least(2 * (F.row_number().over(up) - 1), 2 * F.row_number().over(down) - 1)
     ranked = ranked.withColumn("__turn", F.when(F.col("__lead"), turn).otherwise(F.least("ord", F.lit(1 << 30))))
-    return ranked.orderBy(F.col("__lead").desc(), "__turn", "dtype", "path", "ord").limit(most).select(*TENSORS)
+    picked = ranked.orderBy(F.col("__lead").desc(), "__turn", "dtype", "path", "ord").limit(most).select("path", "ord")
+    return tensors.join(F.broadcast(picked), ["path", "ord"], "left_semi").select(*TENSORS)
 
 
 def calibrate(tensors: DataFrame, config: Config = Config(), most: int = CALIBRATION) -> Prior:

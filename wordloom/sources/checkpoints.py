@@ -152,7 +152,7 @@ def layout(headers: DataFrame) -> DataFrame:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """One file in any store: written beside its place, then renamed over it."""
+    """One file in any store: written beside its place, then renamed over it in one step, so that a crash leaves the old one or the new."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
     fs = to.getFileSystem(conf)
@@ -160,9 +160,11 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     for k in range(0, len(data), 1 << 20):
         out.write(bytearray(data[k : k + (1 << 20)]))
     out.close()
-    fs.delete(to, False)
-    if not fs.rename(tmp, to):
-        raise EngineError("RenameFailed", path)
+    to, tmp = fs.makeQualified(to), fs.makeQualified(tmp)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.valueOf("OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(tmp, to, over)
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
