@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -112,3 +113,40 @@ def test_prior():
     for bad in (b"", p.serialize()[:-1], p.serialize() + b"\0", b"XXXX" + p.serialize()[4:]):
         with pytest.raises(EngineError):
             Prior.deserialize(bad)
+
+
+def test_search_holds_one_branch_of_words():
+    w = np.random.default_rng(3).normal(0, 1, 100_000).astype("<f4").view(np.uint32)
+    tracemalloc.start()
+    r = synthesize(w, "F32", Config(expansions=32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(pr.execute(r.program), w) and peak < 10 * 4 * len(w)
+
+
+def test_shapes_are_those_of_the_children():
+    w = np.tile(np.random.default_rng(1).integers(0, 1 << 16, 3), 4).astype(np.uint32)
+    for c in gr.propose(w, 16, "BF16", 0):
+        kids = gr.children(c, w, 16)
+        assert [(len(x), b) for x, b in kids] == gr.shapes(c, len(w), 16)
+        assert all(np.array_equal(x, gr.child(c, w, 16, i)) for i, (x, _) in enumerate(kids))
+
+
+@pytest.mark.parametrize("n", [1, 7, li.CHUNK - 1, li.CHUNK, 3 * li.CHUNK + 5])
+def test_bits_across_parts(n):
+    rng = np.random.default_rng(n)
+    for bits in (1, 5, 17, 32):
+        w = rng.integers(0, 1 << bits, n).astype(np.uint32)
+        body = li.to_bits(w, bits)
+        assert body == int("".join(f"{x:0{bits}b}" for x in w.tolist()).ljust(-(-n * bits // 8) * 8, "0"), 2).to_bytes(-(-n * bits // 8), "big")
+        assert np.array_equal(li.from_bits(body, bits, n), w)
+    w = np.minimum(rng.geometric(0.3, n), 30).astype(np.uint32)  # codes shorter and longer than what is looked up
+    assert np.array_equal(li.decode(li.encode(w, 8, "huffman"), 8, n), w)
+
+
+def test_huffman_rejects_bits_that_are_no_code():
+    head = b"\x02" + (1).to_bytes(4, "little") + b"\x07\0\0\0\x01" + (3).to_bytes(8, "little")
+    assert li.decode(head + b"\x00", 8, 3).tolist() == [7, 7, 7]
+    for payload, n in ((b"\x40", 3), (b"\x00", 2), (b"\x00", 4), (b"\x01", 3)):
+        with pytest.raises(EngineError):
+            li.decode(head + payload, 8, n)

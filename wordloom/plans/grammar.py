@@ -118,13 +118,25 @@ def children(c: Choice, w: np.ndarray, bits: int) -> list[tuple[np.ndarray, int]
     return [(x, b) for x, (_, b) in zip(split_words(w, parts(c, bits)), parts(c, bits))]
 
 
+def shapes(c: Choice, n: int, bits: int) -> list[tuple[int, int]]:
+    """(length, bits) of each child, without making them."""
+    if c.family in ("Lit", "Const"):
+        return []
+    if c.family == "Concat":
+        return [(c.param, bits), (n - c.param, bits)]
+    if c.family in _MERGE:
+        return [(n, b) for _, b in parts(c, bits)]
+    return [(n // c.param if c.family == "Repeat" else n - 1 if c.family in _SCAN else n, bits)]
+
+
+def child(c: Choice, w: np.ndarray, bits: int, i: int) -> np.ndarray:
+    """The words of one child; the others of a merge aren't made."""
+    return split_words(w, [parts(c, bits)[i]])[0] if c.family in _MERGE else children(c, w, bits)[i][0]
+
+
 def storage_bytes(c: Choice, n: int, bits: int) -> int:
     """Bytes of the children's streams, without making them."""
-    if c.family in _MERGE:
-        return sum(n * storage(b) for _, b in parts(c, bits))
-    if c.family in ("Lit", "Const"):
-        return 0
-    return (n // c.param if c.family == "Repeat" else n - 1 if c.family in _SCAN else n) * storage(bits)
+    return sum(k * storage(b) for k, b in shapes(c, n, bits))
 
 
 def fixed_bytes(c: Choice, w: np.ndarray, bits: int) -> int:

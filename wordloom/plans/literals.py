@@ -20,6 +20,8 @@ from wordloom.operators.encodings import MOST_SYMBOLS, TAGS, code_lengths, stora
 
 SCALE_BITS, LOW, LANES = 14, 1 << 23, 4
 SCALE = 1 << SCALE_BITS
+#: Words (or bytes) that are worked on at once, a multiple of 8; bits that are looked up before a search.
+CHUNK, PEEK = 1 << 14, 12
 _TYPES = {1: "<u1", 2: "<u2", 4: "<u4"}
 
 
@@ -35,24 +37,30 @@ def unpacked(data: bytes, bits: int) -> np.ndarray:
 def to_bits(words: np.ndarray, widths) -> bytes:
     """Words at their widths (one or an array), most significant bits first, padded with zeros."""
     widths = np.broadcast_to(np.asarray(widths, np.int64), len(words))
-    ends = np.cumsum(widths)
-    if not len(words):
-        return b""
-    place = np.arange(int(ends[-1]))
-    own = np.repeat(np.arange(len(words)), widths)
-    return np.packbits(((words.astype(np.uint64)[own] >> (ends[own] - 1 - place).astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
-
-
-def bit_array(data: bytes, n: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    if len(bits) != -(-n // 8) * 8 or bits[n:].any():
+    out, left = bytearray(), np.zeros(0, np.uint8)
+    for k in range(0, len(words), CHUNK):
+        w, width = words[k : k + CHUNK].astype(np.uint64), widths[k : k + CHUNK]
+        below = np.repeat(np.cumsum(width), width) - np.arange(int(width.sum())) - 1
+        bits = np.concatenate([left, ((np.repeat(w, width) >> below.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)])
+        whole = len(bits) // 8 * 8
+        out += np.packbits(bits[:whole]).tobytes()
+        left = bits[whole:]
+    return bytes(out) + np.packbits(left).tobytes()
+
+
+def check_padding(data: bytes, n: int) -> None:
+    if len(data) != -(-n // 8) or (n % 8 and data[-1] & (0xFF >> n % 8)):
         raise EngineError("CorruptLiteralEncoding", "padding")
-    return bits[:n]
 
 
 def from_bits(data: bytes, width: int, n: int) -> np.ndarray:
-    bits = bit_array(data, width * n).reshape(n, width).astype(np.uint32)
-    return (bits << np.arange(width - 1, -1, -1, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    check_padding(data, width * n)
+    raw, out, up = np.frombuffer(data, np.uint8), np.empty(n, np.uint32), np.arange(width - 1, -1, -1, dtype=np.uint32)
+    for k in range(0, n, CHUNK):
+        m = min(CHUNK, n - k)  # CHUNK is a multiple of 8, so each part begins with a byte
+        bits = np.unpackbits(raw[k * width // 8 : -(-(k + m) * width // 8)])[: m * width].reshape(m, width)
+        out[k : k + m] = (bits.astype(np.uint32) << up).sum(1, dtype=np.uint32)
+    return out
 
 
 # ---- huffman ---------------------------------------------------------------------------
@@ -80,23 +88,46 @@ def _huffman(words, symbols, counts):
     return head + struct.pack("<Q", int(width.sum())) + to_bits(code, width)
 
 
-def _huffman_decode(entries, bits, n):
+def _huffman_decode(entries, payload, size, n):
+    """Finds the code at every bit of a part at once, then walks from code to code.
+
+    Codes moved to the top of 32 bits ascend, so the code at a place is the last that
+    isn't above its next 32 bits; most are told by the first PEEK bits alone.
+    """
     if len({s for _, s in entries}) != len(entries) or entries != sorted(entries) or any(not 1 <= k <= 32 for k, _ in entries):
         raise EngineError("CorruptLiteralEncoding", "entries")
-    by = {(length, code): s for s, (code, length) in canonical(entries).items()}
-    out, code, length = np.empty(n, np.uint32), 0, 0
-    k = 0
-    for bit in bits.tolist():
-        code, length = code << 1 | bit, length + 1
-        s = by.get((length, code))
-        if s is not None:
-            if k == n:
-                raise EngineError("CorruptLiteralEncoding", "too many words")
-            out[k] = s
-            k, code, length = k + 1, 0, 0
-        elif length > 32:
+    check_padding(payload, size)
+    codes = canonical(entries)
+    symbol, length = np.array([s for _, s in entries], np.uint32), np.array([k for k, _ in entries], np.int64)
+    first = np.array([codes[s][0] << 32 - k for k, s in entries], np.uint64)
+    beyond = first + (np.uint64(1) << (32 - length).astype(np.uint64))
+    low = np.arange(1 << PEEK, dtype=np.uint64) << np.uint64(32 - PEEK)
+    peek, last = np.searchsorted(first, low, "right") - 1, np.searchsorted(first, low | np.uint64((1 << 32 - PEEK) - 1), "right") - 1
+    peek[peek != last] = -1
+    raw = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(5, np.uint8)]).astype(np.uint64)
+    out, k, at = np.empty(n, np.uint32), 0, 0
+    for a in range(0, size, 8 * CHUNK):
+        b = min(size, a + 8 * CHUNK)
+        if at >= b:
+            continue
+        part = raw[a // 8 : -(-b // 8) + 5]
+        five = sum(part[i : len(part) - 5 + i] << np.uint64(32 - 8 * i) for i in range(5))
+        ahead = ((five[:, None] >> np.arange(8, 0, -1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).ravel()[: b - a]
+        own = peek[ahead >> np.uint64(32 - PEEK)]
+        unclear = np.flatnonzero(own < 0)
+        own[unclear] = np.searchsorted(first, ahead[unclear], "right") - 1
+        step = np.where(ahead < beyond[own], length[own], 0).tolist()
+        places, i, end = [], at - a, b - a
+        while i < end:
+            places.append(i)
+            i += step[i] or end + 33  # no code begins here
+        if i > end + 32:
             raise EngineError("CorruptLiteralEncoding", "no code")
-    if k != n or length:
+        if k + len(places) > n:
+            raise EngineError("CorruptLiteralEncoding", "too many words")
+        out[k : k + len(places)] = symbol[own[places]]
+        k, at = k + len(places), a + i
+    if k != n or at != size:
         raise EngineError("CorruptLiteralEncoding", "too few words")
     return out
 
@@ -245,7 +276,7 @@ def decode(body: bytes, bits: int, n: int) -> np.ndarray:
             size, payload = struct.unpack_from("<Q", rest, 4 + count * step)[0], rest[12 + count * step :]
             if len(payload) != ((size + 7) // 8 if tag == 2 else size):
                 raise EngineError("TrailingLiteralBytes")
-            out = _huffman_decode([(k, s) for s, k in entries], bit_array(payload, size), n) if tag == 2 else _rans_decode(np.array([s for s, _ in entries]), np.array([k for _, k in entries]), payload, n)
+            out = _huffman_decode([(k, s) for s, k in entries], payload, size, n) if tag == 2 else _rans_decode(np.array([s for s, _ in entries]), np.array([k for _, k in entries]), payload, n)
         else:
             raise EngineError("UnknownLiteralEncoding", str(tag))
     except (IndexError, struct.error) as e:

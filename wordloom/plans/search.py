@@ -4,6 +4,10 @@ Partial programs are taken in order of cost so far plus a bound on what is to co
 then of bytes at least, then of making. A full program replaces the best only if it is
 smaller by bytes. The literal of the whole stream is the first best, so there is always
 an exact answer.
+
+What waits in the queue is choices and shapes, no words: the words of the hole that is
+taken are made again from the stream, along its own ancestors. The words held at a time
+are those of one branch, whatever the budget.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 from wordloom.functions.dtypes import DTYPES, EngineError
 from wordloom.operators.encodings import storage
 
-from .grammar import Choice, Limits, build, children, choice_of, fixed_bytes, propose, storage_bytes
+from .grammar import Choice, Limits, build, child, children, choice_of, fixed_bytes, propose, shapes, storage_bytes
 from .prior import ROOT, Prior, context, log_cost
 from .program import Node, execute, lit, size, type_of
 
@@ -45,13 +49,28 @@ class Result:
 
 @dataclass(frozen=True)
 class _Hole:
-    words: np.ndarray
+    n: int
     bits: int
     depth: int
     parent: int
     slot: int
 
 
+class _Branch:
+    """A stream by how it comes from the one above; its words are made when they are asked for."""
+
+    def __init__(self, words, bits: int, above: _Branch | None = None, choice: Choice | None = None, i: int = 0):
+        self._words, self.bits, self.above, self.choice, self.i = words, bits, above, choice, i
+
+    def words(self) -> np.ndarray:
+        if self._words is None:
+            self._words = child(self.choice, self.above.words(), self.above.bits, self.i)
+        return self._words
+
+    def key(self) -> tuple:
+        return (*self.above.key(), (self.choice, self.i)) if self.above else ()
+
+
 def completion_costs(dtype: str, bounds_of, depth: int):
     """(bits, length, depth) -> a cost that every completion of a hole has at least.
 
@@ -89,15 +108,15 @@ def synthesize(words: np.ndarray, dtype: str, config: Config = Config(), prior:
     words, bits = np.asarray(words, np.uint32), DTYPES[dtype].bits
     if bits < 32 and len(words) and int(words.max()) >> bits:
         raise EngineError("TypeMismatch", dtype)
-    best = lit(words, bits)
-    best_bytes = HEADER + size(best)
+    best = [Choice("Lit")]
+    best_bytes = HEADER + size(lit(words, bits))
     if config.expansions <= 0 or not len(words):
-        return Result(best, best_bytes, "budget_exhausted" if len(words) else "proven_optimal", 0, 0)
+        return Result(lit(words, bits), best_bytes, "budget_exhausted" if len(words) else "proven_optimal", 0, 0)
     prior = prior or Prior()
     bounds = lru_cache(None)(lambda n: prior.bounds(n))
     least = completion_costs(dtype, bounds, config.limits.depth) if config.heuristic else None
-    ahead = lambda h: least(h.bits, len(h.words) > 1, h.depth) if least and len(h.words) else 0
-    known: dict[int, int] = {}
+    ahead = lambda h: least(h.bits, h.n > 1, h.depth) if least and h.n else 0
+    known: dict[tuple, int] = {}  # bytes of the literals that have been sized, by where they come from
     expanded = completed = serial = 0
     cut = None
 
@@ -106,20 +125,43 @@ def synthesize(words: np.ndarray, dtype: str, config: Config = Config(), prior:
 
         def make(w, b):
             c = next(rest)
-            return build(c, w, b, [make(x, k) for x, k in children(c, w, b)])
+            return build(c, w, b, [make(child(c, w, b, i), k) for i, (_, k) in enumerate(shapes(c, len(w), b))])
 
         return make(words, bits)
 
+    def total_bytes(path: list[Choice]) -> int:
+        rest = iter(path)
+
+        def of(at: _Branch, n: int) -> int:
+            c = next(rest)
+            if c.family == "Lit":
+                key = at.key()
+                if key not in known:
+                    known[key] = size(lit(at.words(), at.bits))
+                return known[key]
+            return fixed_bytes(c, at.words(), at.bits) + sum(of(_Branch(None, b, at, c, i), k) for i, (k, b) in enumerate(shapes(c, n, at.bits)))
+
+        return HEADER + of(_Branch(words, bits), len(words))
+
+    def leftmost(path: list[Choice]) -> _Branch:
+        waiting = [_Branch(words, bits)]
+        lengths = [len(words)]
+        for c in path:
+            at, n = waiting.pop(), lengths.pop()
+            below = shapes(c, n, at.bits)
+            waiting += [_Branch(None, b, at, c, i) for i, (_, b) in reversed(list(enumerate(below)))]
+            lengths += [k for k, _ in reversed(below)]
+        return waiting[-1]
+
     def consider(path: list[Choice]) -> None:
         nonlocal best, best_bytes
-        p = assemble(path)
-        total = HEADER + size(p)
+        total = total_bytes(path)
         if total < best_bytes:
-            best, best_bytes = p, total
+            best, best_bytes = path, total
 
     if config.seed_float and DTYPES[dtype].is_float and config.nodes >= 4 and config.limits.depth >= 1:
         consider([Choice("MergeFloat", dtype), Choice("Lit"), Choice("Lit"), Choice("Lit")])
-    root = _Hole(words, bits, 0, ROOT, 0)
+    root = _Hole(len(words), bits, 0, ROOT, 0)
     queue = [(ahead(root), HEADER + 1, 0, 0, HEADER, [], [root])]
     frontier = None
     while queue:
@@ -139,18 +181,19 @@ def synthesize(words: np.ndarray, dtype: str, config: Config = Config(), prior:
             continue
         expanded += 1
         hole, rest = holes[0], holes[1:]
-        choices = propose(hole.words, hole.bits, dtype, hole.depth, config.limits)
+        own_words = leftmost(path).words()
+        choices = propose(own_words, hole.bits, dtype, hole.depth, config.limits)
         admitted = sorted({c.id for c in choices})
-        cost = prior.costs(context(hole.words, hole.bits, dtype, hole.parent, hole.slot, hole.depth) if not prior.empty else (), admitted) if not prior.empty else dict.fromkeys(admitted, log_cost(1, len(admitted)))
-        open_ = sum(len(h.words) * storage(h.bits) for h in rest)
+        cost = prior.costs(context(own_words, hole.bits, dtype, hole.parent, hole.slot, hole.depth) if not prior.empty else (), admitted) if not prior.empty else dict.fromkeys(admitted, log_cost(1, len(admitted)))
+        open_ = sum(h.n * storage(h.bits) for h in rest)
         for c in choices:
-            if open_ + storage_bytes(c, len(hole.words), hole.bits) > config.open_bytes:
+            if open_ + storage_bytes(c, hole.n, hole.bits) > config.open_bytes:
                 continue
-            kids = [_Hole(x, b, hole.depth + 1, c.id, min(i, 255)) for i, (x, b) in enumerate(children(c, hole.words, hole.bits))]
+            kids = [_Hole(k, b, hole.depth + 1, c.id, min(i, 255)) for i, (k, b) in enumerate(shapes(c, hole.n, hole.bits))]
             after = kids + rest
             if len(path) + 1 + len(after) > config.nodes:
                 continue
-            total = fixed + fixed_bytes(c, hole.words, hole.bits)
+            total = fixed + fixed_bytes(c, own_words, hole.bits)
             bound = total + len(after)
             if bound >= best_bytes:
                 continue
@@ -165,9 +208,10 @@ def synthesize(words: np.ndarray, dtype: str, config: Config = Config(), prior:
                 heapq.heappush(queue, item)
     if frontier is not None and frontier[1] < best_bytes:
         consider([*frontier[2], *[Choice("Lit")] * len(frontier[3])])
-    if best.kind != "Lit" and not np.array_equal(execute(best), words):
+    made = assemble(best)
+    if made.kind != "Lit" and not np.array_equal(execute(made), words):
         raise EngineError("InternalError", "a program doesn't give its stream")
-    return Result(best, best_bytes, "proven_optimal" if cut is None or cut >= best_bytes else "budget_exhausted", expanded, completed)
+    return Result(made, best_bytes, "proven_optimal" if cut is None or cut >= best_bytes else "budget_exhausted", expanded, completed)
 
 
 def observe(prior: Prior, p: Node, words: np.ndarray, bits: int, dtype: str, weight: int = 1, parent: int = ROOT, slot: int = 0, depth: int = 0) -> None:
