@@ -65,6 +65,48 @@ def test_files_round_trip(spark, tmp_path):
         api.compress_file(spark, source, source)
 
 
+def test_headers_and_tensors_are_read_in_place(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    many = [[(f"t{i}", "F32", (k, 3), rng.normal(size=3 * k).astype("<f4").tobytes()) for i, k in enumerate((5, 0, 400, 7))] for _ in range(3)]
+    for i, tensors in enumerate(many):
+        (tmp_path / f"m{i}").write_bytes(ck.encode(tensors))
+    got = {(r["path"][-2:], r["ord"]): (r["name"], r["dtype"], tuple(r["shape"]), bytes(r["data"])) for r in ck.read_tensors(spark, str(tmp_path), part=100).collect()}
+    assert got == {(f"m{i}", j): t for i, tensors in enumerate(many) for j, t in enumerate(tensors)}
+    (tmp_path / "m3").write_bytes(ck.encode(many[0])[:-1])
+    (tmp_path / "m4").write_bytes(b"short")
+    (tmp_path / "m5").write_bytes((1 << 60).to_bytes(8, "little") + b"{}")
+    errors = {r["path"][-2:]: r["error"] for r in ck.read_headers(spark, str(tmp_path)).filter("error is not null").collect()}
+    assert errors == {"m3": "CheckpointTooShort", "m4": "CheckpointTooShort", "m5": "HeaderLimitExceeded"}
+    with pytest.raises(Exception, match="CheckpointTooShort|HeaderLimitExceeded"):
+        ck.read_tensors(spark, str(tmp_path)).count()
+
+
+def test_headers_of_files_beyond_two_gibibytes(spark, tmp_path):
+    size, tail = 3 << 30, b"\x07" * 8
+    head = ck.build_header([("a", "U8", (1 << 31,), 1 << 31), ("b", "U8", (size - (1 << 31),), size - (1 << 31)), ("c", "U8", (8,), 8)])
+    with open(tmp_path / "big", "wb") as f:  # sparse: takes no room
+        f.write(head)
+        f.seek(len(head) + size)
+        f.write(tail)
+    path = str(tmp_path / "big")
+    assert [(r["name"], r["begin"], r["end"]) for r in ck.read_headers(spark, path).orderBy("ord").collect()] == [("a", 0, 1 << 31), ("b", 1 << 31, size), ("c", size, size + 8)]
+    assert ck.read_prefix(spark, path) == (head, len(head) + size + 8)
+    with pytest.raises(Exception, match="TensorLimitExceeded"):
+        ck.read_tensors(spark, path).count()
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"old")
+
+    def parts():
+        yield b"new"
+        raise EngineError("Truncated")
+
+    with pytest.raises(EngineError):
+        ck.write_parts(spark, str(tmp_path / "x"), parts())
+    assert (tmp_path / "x").read_bytes() == b"old" and not (tmp_path / "x.part").exists()
+
+
 def test_calibration_does_not_hurt_one_expansion(spark, tmp_path):
     rows = [("a", i, f"t{i}", "F32", [64], bytearray(np.array([i, -i] * 32, "<f4").tobytes())) for i in range(1, 7)]
     tensors = spark.createDataFrame(rows, "path string, ord int, name string, dtype string, shape array<bigint>, data binary")

@@ -116,12 +116,13 @@ def test_prior():
 
 
 def test_search_holds_one_branch_of_words():
-    w = np.random.default_rng(3).normal(0, 1, 100_000).astype("<f4").view(np.uint32)
+    w = np.random.default_rng(3).normal(0, 1, 400_000).astype("<f4").view(np.uint32)
     tracemalloc.start()
     r = synthesize(w, "F32", Config(expansions=32))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert np.array_equal(pr.execute(r.program), w) and peak < 10 * 4 * len(w)
+    # one branch, and the heap of one Huffman code, whose symbols are bounded
+    assert np.array_equal(pr.execute(r.program), w) and peak < (32 << 20) + 12 * 4 * len(w)
 
 
 def test_shapes_are_those_of_the_children():

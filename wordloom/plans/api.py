@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from contextlib import contextmanager
 from dataclasses import replace
 
 import numpy as np
@@ -140,46 +142,100 @@ def compress_file(spark: SparkSession, source: str, target: str, config: Config
     if prior is None and config.expansions > 0 and calibration > 0:
         teacher = replace(config, expansions=6, seed_float=True) if config.expansions == 1 else config
         prior = calibrate(tensors, teacher, min(calibration, 4) if config.expansions == 1 else calibration)
-    rows = compress(tensors, config, prior).orderBy("ord").collect()  # the records of one file, which is written as one
-    raw = checkpoints.read_bytes(spark, source)
-    prefix = raw[: checkpoints.parse_header(raw)[1]]
-    out = archives.encode_header(prefix, len(rows)) + b"".join(archives.encode_record(r["name"], r["dtype"], r["shape"], bytes(r["bytecode"]), bytes(r["checksum"])) for r in rows)
-    checkpoints.write_bytes(spark, target, out)
-    return {"tensors": len(rows), "source_bytes": len(raw), "archive_bytes": len(out), "structured": sum(bytes(r["bytecode"])[5] != 1 for r in rows), "expanded": sum(r["expanded"] for r in rows)}
+    prefix, size = checkpoints.read_prefix(spark, source)
+    entries = checkpoints.parse_header(prefix)[0]
+    with _parts(compress(tensors, config, prior), target) as records:
+        head = archives.encode_header(prefix, len(entries))
+        made = (archives.encode_record(r["name"], r["dtype"], r["shape"], bytes(r["bytecode"]), bytes(r["checksum"])) for r in _in_order(records, len(entries)))
+        written = checkpoints.write_parts(spark, target, itertools.chain([head], made))
+        s = records.agg(F.sum((F.substring("bytecode", 6, 1) != F.lit(bytearray(b"\x01"))).cast("int")).alias("structured"), F.sum("expanded").alias("expanded")).first()
+    return {"tensors": len(entries), "source_bytes": size, "archive_bytes": written, "structured": s["structured"] or 0, "expanded": s["expanded"] or 0}
+
+
+@contextmanager
+def _parts(rows: DataFrame, target: str):
+    """Rows as a table beside the file that is made of them, so that its order costs no second computation; deleted afterwards."""
+    spark, folder = rows.sparkSession, f"{target}.parts"
+    try:
+        rows.write.mode("overwrite").parquet(folder)
+        yield spark.read.schema(rows.schema).parquet(folder)
+    finally:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _in_order(rows: DataFrame, n: int):
+    """Rows by ord, a part at a time: the driver holds one part, never the file."""
+    got = 0
+    for r in rows.orderBy("ord").toLocalIterator():
+        got += 1
+        yield r
+    if got != n:
+        raise EngineError("MetadataMismatch", f"{got} of {n} tensors")
 
 
 def archive_table(spark: SparkSession, path: str) -> tuple[bytes, DataFrame]:
-    """The checkpoint's header and the records of an archive file, each bound to its entry."""
-    prefix, bodies = archives.frames(checkpoints.read_bytes(spark, path))
-    entries, rows = checkpoints.parse_header(prefix)[0], []
-    if len(entries) != len(bodies):
-        raise EngineError("MetadataMismatch")
-    for i, (e, body) in enumerate(zip(entries, bodies)):
-        name, kind, shape, code, check = archives.decode_record(body)
-        if (name, kind, tuple(shape)) != (e.name, e.dtype, e.shape):
-            raise EngineError("MetadataMismatch", name)
-        rows.append((path, i, name, kind, shape, bytearray(code), bytearray(check)))
-    return prefix, spark.createDataFrame(rows, archives.SCHEMA)
-
-
-def _restored(spark: SparkSession, path: str) -> bytes:
-    prefix, table = archive_table(spark, path)
-    rows = decompress(table).orderBy("ord").collect()
-    for r in rows:
-        if r["error"]:
-            raise EngineError(r["error"], r["name"])
-    return prefix + b"".join(bytes(r["data"]) for r in rows)
+    """The checkpoint's header and the records of an archive file, each bound to its entry.
+
+    The driver walks over lengths and heads; tasks read the records where they stand, or
+    get them from the driver where the store can't be read in places.
+    """
+    with checkpoints.DriverFile(spark, path) as f:
+        prefix, places = archives.walk(f.read_at, f.size)
+        entries, rows = checkpoints.parse_header(prefix)[0], []
+        if len(entries) != len(places):
+            raise EngineError("MetadataMismatch")
+        local = checkpoints._seekable(f.uri)
+        for i, (e, (at, n)) in enumerate(zip(entries, places)):
+            head = archives.record_head(e.name, e.dtype, e.shape)
+            if f.read_at(min(n, len(head)), at) != head:
+                raise EngineError("MetadataMismatch", e.name)
+            rows.append((f.uri, i, at, n, None if local else bytearray(f.read_at(n, at))))
+        uri = f.uri
+    if local:
+        local.close()
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for x in pdf.itertuples(index=False):
+                if x.body is None:
+                    with checkpoints._seekable(uri) as f:
+                        body = f.read_at(int(x.n), int(x.at))
+                else:
+                    body = bytes(x.body)
+                name, kind, shape, code, check = archives.decode_record(body)
+                yield pd.DataFrame([(path, x.ord, name, kind, shape, code, check)], columns=["path", "ord", "name", "dtype", "shape", "bytecode", "checksum"])
+
+    table = spark.createDataFrame(rows, "uri string, ord int, at bigint, n bigint, body binary")
+    return prefix, table.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "ord").mapInPandas(run, archives.SCHEMA)
 
 
 def decompress_file(spark: SparkSession, archive: str, target: str) -> int:
-    data = _restored(spark, archive)
-    checkpoints.write_bytes(spark, target, data)
-    return len(data)
+    """The checkpoint of an archive file; returns its bytes. A record that can't be restored is an error, and nothing is put in place."""
+    prefix, table = archive_table(spark, archive)
+    n = len(checkpoints.parse_header(prefix)[0])
+
+    def data(rows):
+        for r in _in_order(rows, n):
+            if r["error"]:
+                raise EngineError(r["error"], r["name"])
+            yield bytes(r["data"])
+
+    with _parts(decompress(table), target) as rows:
+        return checkpoints.write_parts(spark, target, itertools.chain([prefix], data(rows)))
 
 
 def verify_file(spark: SparkSession, archive: str, source: str) -> None:
-    if _restored(spark, archive) != checkpoints.read_bytes(spark, source):
+    """An error unless the archive gives the checkpoint back, header and all. Tensors are compared as rows, where they are."""
+    prefix, table = archive_table(spark, archive)
+    if checkpoints.read_prefix(spark, source)[0] != prefix:
         raise EngineError("SourceMismatch")
+    one = F.lit("")
+    bad = verify(table.withColumn("path", one), checkpoints.read_tensors(spark, source).withColumn("path", one)).orderBy("ord").limit(1).collect()
+    if bad:
+        raise EngineError(bad[0]["reason"])
 
 
 def execute(p: program.Node) -> np.ndarray:

@@ -18,6 +18,8 @@ from wordloom.plans.program import Reader, bind, deserialize, execute, leb
 from .checkpoints import parse_header
 
 MAGIC, VERSION, TAG = b"BRTA", 3, 1
+#: Magic, version and two LEB128 numbers have at most so many bytes.
+MOST_LEBS = 4 + 1 + 10 + 10
 SCHEMA = "path string, ord int, name string, dtype string, shape array<bigint>, bytecode binary, checksum binary"
 
 
@@ -30,25 +32,43 @@ def encode_header(prefix: bytes, tensors: int) -> bytes:
     return MAGIC + bytes([VERSION]) + leb(tensors) + leb(len(prefix)) + prefix
 
 
-def encode_record(name: str, kind: str, shape, bytecode: bytes, check: bytes) -> bytes:
+def record_head(name: str, kind: str, shape) -> bytes:
+    """What a record says before its program."""
     raw = name.encode()
-    body = bytes([TAG]) + leb(len(raw)) + raw + bytes([DTYPES[kind].program_id]) + leb(len(shape)) + b"".join(map(leb, shape)) + leb(len(bytecode)) + bytecode + check
+    return bytes([TAG]) + leb(len(raw)) + raw + bytes([DTYPES[kind].program_id]) + leb(len(shape)) + b"".join(map(leb, shape))
+
+
+def encode_record(name: str, kind: str, shape, bytecode: bytes, check: bytes) -> bytes:
+    body = record_head(name, kind, shape) + leb(len(bytecode)) + bytecode + check
     return leb(len(body)) + body
 
 
 def frames(data: bytes) -> tuple[bytes, list[bytes]]:
     """The checkpoint's header and the bodies of the records, none decoded."""
-    r = Reader(data)
+    prefix, places = walk(lambda n, at: data[at : at + n], len(data))
+    return prefix, [data[at : at + n] for at, n in places]
+
+
+def walk(read_at, total: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The checkpoint's header and (place, bytes) of each record's body, from lengths alone. ``read_at(n, at)`` gives bytes of the file."""
+    first = read_at(MOST_LEBS, 0)
+    r = Reader(first)
     if r.take(4) != MAGIC:
         raise EngineError("BadMagic")
     if r.byte() != VERSION:
         raise EngineError("BadVersion")
     n, size = r.leb(), r.leb()
-    if n > len(data):
+    if n > total or r.at + size > total:
         raise EngineError("Truncated")
-    prefix = r.take(size)
-    out = [r.take(r.leb()) for _ in range(n)]
-    if r.at != len(data):
+    prefix, at, out = read_at(size, r.at), r.at + size, []
+    for _ in range(n):
+        r = Reader(read_at(10, at))
+        size = r.leb()
+        if at + r.at + size > total:
+            raise EngineError("Truncated")
+        out.append((at + r.at, size))
+        at += r.at + size
+    if at != total:
         raise EngineError("TrailingData")
     return prefix, out
 

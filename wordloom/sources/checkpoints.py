@@ -1,14 +1,18 @@
 """Tensor checkpoints: a header of JSON behind an 8-byte length, and tensors back to back.
 
 Header entries: name -> dtype, shape, data_offsets; ``__metadata__`` is a map of strings.
-Tensors must tile the data region. Files are read and written through Spark, so any
-store that Spark reaches will do.
+Tensors must tile the data region. Files are listed and written through Spark, so any
+store that Spark reaches will do. Where pyarrow knows the store too, tasks seek to the
+header and to each tensor, so files may be larger than memory; where it doesn't, they
+get whole files, which must then be below 2 GiB. A tensor is one value and must be
+below 2 GiB in any case.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from wordloom.functions.dtypes import EngineError, dtype, numel
 
 MOST_HEADER = 100 << 20
+#: Bytes of a value that the JVM can hold; bytes of tensors that a task reads.
+MOST_VALUE, PART = (1 << 31) - 64, 256 << 20
 RESERVED = "__metadata__"
 HEADERS = "ord int, name string, dtype string, shape array<bigint>, begin bigint, `end` bigint"
 
@@ -109,38 +115,106 @@ def decode(data: bytes) -> list[tuple[Entry, bytes]]:
     return [(e, data[start + e.begin : start + e.end]) for e in entries]
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, ord, name, dtype, shape, begin, end of every tensor; no tensor leaves its file. A bad file is one row with its error."""
+def _seekable(uri: str):
+    """The file of a store that pyarrow knows, to be read at any place; None for other stores."""
+    from pyarrow import fs
+
+    try:
+        if uri.startswith(("file:", "/")):
+            store, at = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+        else:
+            store, at = fs.FileSystem.from_uri(uri)
+    except Exception:  # noqa: BLE001 - an unknown scheme, or a store that needs what isn't installed
+        return None
+    return store.open_input_file(at)
+
+
+def _header_of(f, total: int) -> tuple[list[Entry], int]:
+    first = f.read_at(8, 0)
+    n = struct.unpack("<Q", first)[0] if len(first) == 8 else 0
+    if n > MOST_HEADER:
+        raise EngineError("HeaderLimitExceeded")
+    return parse_header(first + f.read_at(min(n, max(0, total - 8)), 8), total)
+
+
+def _listed(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """path and length of the files, and whether tasks can seek in them; otherwise their content too."""
     files = spark.read.format("binaryFile").load(path)
+    one = files.select("path").limit(1).collect()
+    f = _seekable(one[0][0]) if one else None
+    if f:
+        f.close()
+    return files.select(*["path", "length"][: 2 if f else 1], *[] if f else [F.length("content").cast("bigint").alias("length"), "content"]), bool(f)
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``read_headers`` and start: the tensor's place in its file. Reads headers alone where it can."""
+    files, seek = _listed(spark, path)
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             rows = []
-            for p, data in zip(pdf["path"], pdf["content"]):
+            for x in pdf.itertuples(index=False):
                 try:
-                    rows += [(p, i, e.name, e.dtype, list(e.shape), e.begin, e.end, None) for i, e in enumerate(parse_header(data, len(data))[0])]
+                    if seek:
+                        with _seekable(x.path) as f:
+                            entries, start = _header_of(f, x.length)
+                    else:
+                        entries, start = parse_header(bytes(x.content), x.length)
+                    rows += [(x.path, i, e.name, e.dtype, list(e.shape), e.begin, e.end, None, start + e.begin) for i, e in enumerate(entries)]
                 except EngineError as e:
-                    rows.append((p, -1, None, None, None, None, None, e.code))
-            yield pd.DataFrame(rows, columns=["path", "ord", "name", "dtype", "shape", "begin", "end", "error"])
+                    rows.append((x.path, -1, None, None, None, None, None, e.code, None))
+            yield pd.DataFrame(rows, columns=["path", "ord", "name", "dtype", "shape", "begin", "end", "error", "start"]).astype({"begin": "Int64", "end": "Int64", "start": "Int64"})
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {HEADERS}, error string")
+    return files.mapInPandas(run, f"path string, {HEADERS}, error string, start bigint")
 
 
-def read_tensors(spark: SparkSession, path: str) -> DataFrame:
-    """path, ord, name, dtype, shape, data of every tensor of the files; a bad file fails the read with its error."""
-    files = spark.read.format("binaryFile").load(path)
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, ord, name, dtype, shape, begin, end of every tensor. A bad file is one row with its error."""
+    return _entries(spark, path).drop("start")
+
+
+def read_tensors(spark: SparkSession, path: str, part: int = PART) -> DataFrame:
+    """path, ord, name, dtype, shape, data of every tensor of the files; a bad file fails the read with its error.
+
+    Headers are read first; then tensors are dealt to tasks of about ``part`` bytes, whatever
+    file they are in, and each is read by itself.
+    """
+    files, seek = _listed(spark, path)
+    schema, names = "path string, ord int, name string, dtype string, shape array<bigint>, data binary", ["path", "ord", "name", "dtype", "shape", "data"]
+    if not seek:
+
+        def whole(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                for p, data in zip(pdf["path"], pdf["content"]):
+                    for i, (e, body) in enumerate(decode(bytes(data))):
+                        yield pd.DataFrame([(p, i, e.name, e.dtype, list(e.shape), body)], columns=names)
+
+        return files.select("path", "content").mapInPandas(whole, schema)
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for p, data in zip(pdf["path"], pdf["content"]):
-                for i, (e, body) in enumerate(decode(data)):
-                    yield pd.DataFrame([(p, i, e.name, e.dtype, list(e.shape), body)], columns=["path", "ord", "name", "dtype", "shape", "data"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, ord int, name string, dtype string, shape array<bigint>, data binary")
+            for x in pdf.itertuples(index=False):
+                if x.error:
+                    raise EngineError(x.error, x.path)
+                size = int(x.end) - int(x.begin)
+                if size > MOST_VALUE:
+                    raise EngineError("TensorLimitExceeded", x.name)
+                with _seekable(x.path) as f:
+                    data = f.read_at(size, int(x.start))
+                if len(data) != size:
+                    raise EngineError("CheckpointTooShort", x.path)
+                yield pd.DataFrame([(x.path, x.ord, x.name, x.dtype, list(x.shape), data)], columns=names)
+
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // part))
+    return _entries(spark, path).repartition(tasks, "path", "ord").mapInPandas(run, schema)
 
 
 def layout(headers: DataFrame) -> DataFrame:
@@ -151,27 +225,69 @@ def layout(headers: DataFrame) -> DataFrame:
     return headers.select("path", "name", (F.col("begin") == F.coalesce(last, F.lit(0))).alias("contiguous"))
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """One file in any store: written beside its place, then renamed over it in one step, so that a crash leaves the old one or the new."""
+def write_parts(spark: SparkSession, path: str, parts: Iterable[bytes]) -> int:
+    """One file in any store, from parts that are held one at a time; returns its bytes.
+
+    Written beside its place, then renamed over it in one step, so that a crash leaves the old one or the new.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
     fs = to.getFileSystem(conf)
-    out = fs.create(tmp, True)
-    for k in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[k : k + (1 << 20)]))
+    out, size = fs.create(tmp, True), 0
+    try:
+        for data in parts:
+            for k in range(0, len(data), 1 << 20):
+                out.write(bytearray(data[k : k + (1 << 20)]))
+            size += len(data)
+    except BaseException:
+        out.close()
+        fs.delete(tmp, False)
+        raise
     out.close()
     to, tmp = fs.makeQualified(to), fs.makeQualified(tmp)
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     over = spark.sparkContext._gateway.new_array(rename, 1)
     over[0] = rename.valueOf("OVERWRITE")
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(tmp, to, over)
+    return size
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    write_parts(spark, path, [data])
+
+
+class DriverFile:
+    """A file of any store, read at any place by the driver; for headers and lengths, not for data."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+            raise EngineError("FileNotFound", path)
+        self.uri, self.size, self._in = fs.makeQualified(at).toString(), fs.getFileStatus(at).getLen(), fs.open(at)
+
+    def read_at(self, n: int, at: int) -> bytes:
+        self._in.seek(min(at, self.size))
+        return bytes(self._in.readNBytes(max(0, min(n, self.size - at))))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self._in.close()
+
+
+def read_prefix(spark: SparkSession, path: str) -> tuple[bytes, int]:
+    """The header of a checkpoint as it stands in the file, and the bytes of the file."""
+    with DriverFile(spark, path) as f:
+        _, start = _header_of(f, f.size)
+        return f.read_at(start, 0), f.size
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
-    rows = spark.read.format("binaryFile").load(path).select("content").limit(2).collect()
-    if len(rows) != 1:
-        raise EngineError("FileNotFound", path)
-    return bytes(rows[0][0])
+    """A whole small file."""
+    with DriverFile(spark, path) as f:
+        return f.read_at(f.size, 0)
 
 
 def from_columns(df: DataFrame, name: str, column: str, kind: str) -> DataFrame:
