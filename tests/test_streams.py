@@ -40,3 +40,14 @@ def test_periods(spark):
     s = spark.createDataFrame([("a", i, i % 3) for i in range(12)] + [("b", i, i) for i in range(4)], "k string, pos bigint, word bigint")
     got = {(r["k"], r["period"]): r["periodic"] for r in st.has_period(s, [1, 2, 3, 6], ["k"]).collect()}
     assert got["a", 3] and got["a", 6] and not got["a", 1] and not got["b", 3] and got["b", 6]
+
+
+def test_positions_where_one_value_leads_most_rows(spark):
+    rows = [(1 if i % 10 else i, None if i == 3 else f"k{i:04d}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string, w int").repartition(7)
+    want = [r[2] for r in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))]
+    for ranges in (None, 1, 2, 40):
+        assert [r["word"] for r in st.stream(df, F.col("w"), ["a", "b"], ranges=ranges).orderBy("pos").collect()] == want
+    sizes = st._blocks(df, ["a", "b"], 40).groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert sizes < 300  # 2700 rows share their first value
+    assert st.stream(df.limit(0), F.col("w"), ["a", "b"]).count() == 0

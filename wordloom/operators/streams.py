@@ -7,33 +7,57 @@ with what comes before it. No task holds the stream.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.words import cut, merge
 
 #: Positions in a block of a running result.
 BLOCK = 1 << 16
-#: Blocks that positions are counted in.
-RANGES = 64
+#: Rows in a range that positions are counted in, ranges at most (their bounds are a table of one row), rows sampled for a range.
+RANGE_ROWS, MOST_RANGES, SAMPLED = 1 << 20, 1 << 14, 32
+
 
+def _blocks(df: DataFrame, order: list[str], ranges: int | None) -> DataFrame:
+    """Rows with block, their range by the whole of its order, from a sample that is bounded by the number of ranges.
 
-def stream(df: DataFrame, word: Column, order: list[str], keys: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
-    """keys, pos, word. ``order`` must be unique (within the keys); its first column must be a number if there are no keys."""
+    Bounds are a local table, so that a lost task is done again with the same ranges. They
+    are looked up in two steps, in lists of about the root of their number.
+    """
+    n = df.count()
+    ranges = ranges or min(MOST_RANGES, max(df.sparkSession.sparkContext.defaultParallelism if n > BLOCK else 1, -(-n // RANGE_ROWS)))
+    whole = df.withColumn("block", F.lit(0))
+    if ranges < 2 or not n:
+        return whole
+    drawn = df.select(*order).sample(min(1.0, SAMPLED * ranges / n), seed=7)
+    rows = drawn.orderBy(*order).collect()  # about SAMPLED * ranges rows
+    bounds = list(dict.fromkeys(rows[i * len(rows) // ranges] for i in range(1, ranges))) if rows else []
+    if not bounds:
+        return whole
+    k = math.isqrt(len(bounds)) + 1
+    lists = [bounds[i : i + k] for i in range(0, len(bounds), k)]
+    schema = T.StructType([T.StructField("__lists", T.ArrayType(T.ArrayType(drawn.schema)))])
+    own, near = F.struct(*order), F.col("__at") - 1
+    both = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(lists,)], schema)))  # a single row
+    both = both.withColumn("__at", F.size(F.filter("__lists", lambda x: x[0] < own)))
+    block = F.when(F.col("__at") == 0, 0).otherwise(near * k + F.size(F.filter(F.get("__lists", near), lambda x: x < own)))
+    return both.withColumn("block", block).drop("__lists", "__at")
+
+
+def stream(df: DataFrame, word: Column, order: list[str], keys: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """keys, pos, word. ``order`` must be unique (within the keys); ranges follow the number of rows unless given."""
     keys = keys or []
     if keys:
         pos = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
         return df.select(*keys, pos.cast("bigint").alias("pos"), word.cast("bigint").alias("word"))
-    # bounds are literals, so that a lost task is done again with the same blocks
-    bounds = sorted(set(df.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 0.005)))
-    block = F.lit(0)
-    if bounds:
-        block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order[0])))
-    rows = df.select(*order, word.cast("bigint").alias("word"), block.alias("block"))
+    rows = _blocks(df.select(*order, word.cast("bigint").alias("__word")), order, ranges).withColumnRenamed("__word", "word")
     starts = rows.groupBy("block").agg(F.count("*").alias("n")).select("block", (F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     at = F.row_number().over(W.partitionBy("block").orderBy(*order)) - 1
-    return rows.join(F.broadcast(starts), "block").select((F.col("start") + at).alias("pos"), "word")  # at most `ranges` rows
+    return rows.join(F.broadcast(starts), "block").select((F.col("start") + at).alias("pos"), "word")  # at most MOST_RANGES rows
 
 
 def _running(op: str):
@@ -76,13 +100,14 @@ def length(s: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def concat(parts: list[DataFrame]) -> DataFrame:
-    """Streams one after the other; offsets come from their lengths."""
-    out, offset = None, F.lit(0).cast("bigint")
-    for p in parts:
-        moved = p.crossJoin(F.broadcast(offset)).select((F.col("pos") + F.col("offset")).alias("pos"), "word") if isinstance(offset, DataFrame) else p.select("pos", "word")
-        out = moved if out is None else out.unionByName(moved)
-        offset = out.agg(F.count("*").alias("offset"))  # a single row
-    return out
+    """Streams one after the other; every part is counted once, and its offset is the sum of the counts before it."""
+    rows = None
+    for i, p in enumerate(parts):
+        own = p.select(F.lit(i).alias("__part"), "pos", "word")
+        rows = own if rows is None else rows.unionByName(own)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each part
+    offset = F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    return rows.join(F.broadcast(counts.select("__part", offset.alias("__offset"))), "__part").select((F.col("pos") + F.col("__offset")).alias("pos"), "word")
 
 
 def slice_of(s: DataFrame, lo: int, hi: int) -> DataFrame:
