@@ -128,3 +128,22 @@ def test_streamed_checkpoints(spark, tmp_path):
 def test_command_line(capsys):
     assert cli.main(["config", "--max-expansions", "8"]) == 0 and json.loads(capsys.readouterr().out)["expansions"] == 8
     assert cli.main(["compress", "a", "b.zip"]) == 2
+    assert cli.main(["config", "--max-concat-splits", "5", "--max-rotations", "2", "--astar-heuristic", "off"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["limits"]["splits"] == 5 and got["limits"]["rotations"] == 2 and not got["heuristic"] and cli.main(["config", "--max-map-constants", "-1"]) == 2
+
+
+def test_limits_are_checked_from_headers(spark, tmp_path):
+    source, archive = str(tmp_path / "a.ckpt"), str(tmp_path / "a.brv")
+    (tmp_path / "a.ckpt").write_bytes(ck.encode(MULTI))
+    entries, start = ck.parse_header(ck.encode(MULTI))
+    largest, total = max(e.end - e.begin for e in entries), entries[-1].end
+    exact = ck.Most(start, largest, total)
+    api.compress_file(spark, source, archive, Config(expansions=0), most=exact)
+    api.verify_file(spark, archive, source, exact)
+    for most, code in ((ck.Most(prefix=start - 1), "HeaderLimitExceeded"), (ck.Most(tensor=largest - 1), "TensorLimitExceeded"), (ck.Most(total=total - 1), "SourceLimitExceeded")):
+        with pytest.raises(EngineError, match=code):
+            api.compress_file(spark, source, archive, most=most)
+        with pytest.raises(EngineError, match=code):
+            api.decompress_file(spark, archive, str(tmp_path / "b"), most)
+    assert not (tmp_path / "b").exists()

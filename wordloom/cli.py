@@ -8,8 +8,12 @@ import sys
 from dataclasses import asdict
 
 from wordloom.functions.dtypes import EngineError
+from wordloom.plans.grammar import Limits
+from wordloom.sources.checkpoints import Most
 
 SUFFIX = ".brv"
+#: Flags of the choices that a search may make.
+LIMITS = {"--max-concat-splits": "splits", "--max-field-splits": "fields", "--max-map-constants": "constants", "--max-repeat-period": "period", "--max-rotations": "rotations"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,24 +28,34 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--max-nodes", type=int, default=32)
             c.add_argument("--max-depth", type=int, default=4)
             c.add_argument("--tensors", type=int, default=256)
+            for flag, own in LIMITS.items():
+                c.add_argument(flag, type=int, default=getattr(Limits(), own))
             c.add_argument("--no-heuristic", action="store_true")
+            c.add_argument("--astar-heuristic", choices=["on", "off"], default="on", help="off: the same as --no-heuristic")
             c.add_argument("--seed-float-fields", action="store_true")
         if name == "compress":
             c.add_argument("--prior")
+        if name in ("compress", "decompress", "verify"):
+            c.add_argument("--max-prefix-bytes", type=int, default=Most.prefix)
+            c.add_argument("--max-tensor-bytes", type=int, default=Most.tensor)
+            c.add_argument("--max-total-bytes", type=int, default=Most.total)
         c.add_argument("--workers", type=int, default=0, help="cores of a local session; 0: all")
     return p
 
 
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
-    from wordloom.plans.grammar import Limits
     from wordloom.plans.prior import Prior
     from wordloom.plans.search import Config
 
-    if a.workers < 0 or (hasattr(a, "max_nodes") and a.max_nodes < 1):
+    if a.workers < 0 or (hasattr(a, "max_nodes") and a.max_nodes < 1) or any(v < 0 for k, v in vars(a).items() if k.startswith("max_")):
         print("error: InvalidParameter", file=sys.stderr)
         return 2
-    config = Config(a.max_expansions, a.max_nodes, Limits(depth=a.max_depth), not a.no_heuristic, a.seed_float_fields) if hasattr(a, "max_nodes") else Config()
+    config = Config()
+    if hasattr(a, "max_nodes"):
+        limits = Limits(depth=a.max_depth, **{own: getattr(a, flag[2:].replace("-", "_")) for flag, own in LIMITS.items()})
+        config = Config(a.max_expansions, a.max_nodes, limits, not a.no_heuristic and a.astar_heuristic == "on", a.seed_float_fields)
+    most = Most(a.max_prefix_bytes, a.max_tensor_bytes, a.max_total_bytes) if hasattr(a, "max_total_bytes") else Most()
     if a.command == "config":
         print(json.dumps(asdict(config) | {"tensors": a.tensors, "workers": a.workers}))
         return 0
@@ -57,12 +71,12 @@ def main(args: list[str] | None = None) -> int:
     try:
         if a.command == "compress":
             prior = Prior.deserialize(checkpoints.read_bytes(spark, a.prior)) if a.prior else None
-            s = api.compress_file(spark, a.source, a.archive, config, prior, a.tensors)
+            s = api.compress_file(spark, a.source, a.archive, config, prior, a.tensors, most)
             print(json.dumps(s | {"archive_percent": round(100 * s["archive_bytes"] / max(1, s["source_bytes"]), 3)}))
         elif a.command == "decompress":
-            print(json.dumps({"bytes": api.decompress_file(spark, a.archive, a.target)}))
+            print(json.dumps({"bytes": api.decompress_file(spark, a.archive, a.target, most)}))
         elif a.command == "verify":
-            api.verify_file(spark, a.archive, a.source)
+            api.verify_file(spark, a.archive, a.source, most)
             print(json.dumps({"exact": True}))
         else:
             checkpoints.write_bytes(spark, a.prior_out, api.calibrate(checkpoints.read_tensors(spark, a.source), config, a.tensors).serialize())

@@ -134,16 +134,17 @@ def calibrate(tensors: DataFrame, config: Config = Config(), most: int = CALIBRA
     return prior
 
 
-def compress_file(spark: SparkSession, source: str, target: str, config: Config = Config(), prior: Prior | None = None, calibration: int = CALIBRATION) -> dict:
+def compress_file(spark: SparkSession, source: str, target: str, config: Config = Config(), prior: Prior | None = None, calibration: int = CALIBRATION, most: checkpoints.Most = checkpoints.Most()) -> dict:
     """One checkpoint to one archive file; returns sums. Without a prior one is learned from the checkpoint itself."""
     if source == target:
         raise EngineError("InputOutputPathConflict")
+    prefix, size = checkpoints.read_prefix(spark, source)
+    entries = checkpoints.parse_header(prefix)[0]
+    most.check(entries, len(prefix))
     tensors = checkpoints.read_tensors(spark, source)
     if prior is None and config.expansions > 0 and calibration > 0:
         teacher = replace(config, expansions=6, seed_float=True) if config.expansions == 1 else config
         prior = calibrate(tensors, teacher, min(calibration, 4) if config.expansions == 1 else calibration)
-    prefix, size = checkpoints.read_prefix(spark, source)
-    entries = checkpoints.parse_header(prefix)[0]
     with _parts(compress(tensors, config, prior), target) as records:
         head = archives.encode_header(prefix, len(entries))
         made = (archives.encode_record(r["name"], r["dtype"], r["shape"], bytes(r["bytecode"]), bytes(r["checksum"])) for r in _in_order(records, len(entries)))
@@ -174,7 +175,7 @@ def _in_order(rows: DataFrame, n: int):
         raise EngineError("MetadataMismatch", f"{got} of {n} tensors")
 
 
-def archive_table(spark: SparkSession, path: str) -> tuple[bytes, DataFrame]:
+def archive_table(spark: SparkSession, path: str, most: checkpoints.Most = checkpoints.Most()) -> tuple[bytes, DataFrame]:
     """The checkpoint's header and the records of an archive file, each bound to its entry.
 
     The driver walks over lengths and heads; tasks read the records where they stand, or
@@ -183,6 +184,7 @@ def archive_table(spark: SparkSession, path: str) -> tuple[bytes, DataFrame]:
     with checkpoints.DriverFile(spark, path) as f:
         prefix, places = archives.walk(f.read_at, f.size)
         entries, rows = checkpoints.parse_header(prefix)[0], []
+        most.check(entries, len(prefix))
         if len(entries) != len(places):
             raise EngineError("MetadataMismatch")
         local = checkpoints._seekable(f.uri)
@@ -212,9 +214,9 @@ def archive_table(spark: SparkSession, path: str) -> tuple[bytes, DataFrame]:
     return prefix, table.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "ord").mapInPandas(run, archives.SCHEMA)
 
 
-def decompress_file(spark: SparkSession, archive: str, target: str) -> int:
+def decompress_file(spark: SparkSession, archive: str, target: str, most: checkpoints.Most = checkpoints.Most()) -> int:
     """The checkpoint of an archive file; returns its bytes. A record that can't be restored is an error, and nothing is put in place."""
-    prefix, table = archive_table(spark, archive)
+    prefix, table = archive_table(spark, archive, most)
     n = len(checkpoints.parse_header(prefix)[0])
 
     def data(rows):
@@ -227,9 +229,9 @@ def decompress_file(spark: SparkSession, archive: str, target: str) -> int:
         return checkpoints.write_parts(spark, target, itertools.chain([prefix], data(rows)))
 
 
-def verify_file(spark: SparkSession, archive: str, source: str) -> None:
+def verify_file(spark: SparkSession, archive: str, source: str, most: checkpoints.Most = checkpoints.Most()) -> None:
     """An error unless the archive gives the checkpoint back, header and all. Tensors are compared as rows, where they are."""
-    prefix, table = archive_table(spark, archive)
+    prefix, table = archive_table(spark, archive, most)
     if checkpoints.read_prefix(spark, source)[0] != prefix:
         raise EngineError("SourceMismatch")
     one = F.lit("")

@@ -37,6 +37,25 @@ class Entry:
     end: int
 
 
+@dataclass(frozen=True)
+class Most:
+    """Bytes of a header, of a tensor and of all tensors that a file may have."""
+
+    prefix: int = MOST_HEADER
+    tensor: int = MOST_VALUE
+    total: int = 1 << 50
+
+    def check(self, entries: list[Entry], prefix: int) -> None:
+        """From a header alone, before any data is read."""
+        if prefix > self.prefix:
+            raise EngineError("HeaderLimitExceeded")
+        for e in entries:
+            if e.end - e.begin > self.tensor:
+                raise EngineError("TensorLimitExceeded", e.name)
+        if entries and entries[-1].end > self.total:
+            raise EngineError("SourceLimitExceeded")
+
+
 def _entry(name: str, x) -> Entry:
     if not isinstance(x, dict) or set(x) != {"dtype", "shape", "data_offsets"} or not isinstance(x["dtype"], str):
         raise EngineError("MalformedCheckpoint", name)
