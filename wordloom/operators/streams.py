@@ -20,6 +20,8 @@ from wordloom.functions.words import cut, merge
 BLOCK = 1 << 16
 #: Rows in a range that positions are counted in, ranges at most (their bounds are a table of one row), rows sampled for a range.
 RANGE_ROWS, MOST_RANGES, SAMPLED = 1 << 20, 1 << 14, 32
+#: Streams of so many ranges or fewer are cut by their first column alone.
+FEW = 64
 
 
 def _blocks(df: DataFrame, order: list[str], ranges: int | None) -> DataFrame:
@@ -49,12 +51,20 @@ def _blocks(df: DataFrame, order: list[str], ranges: int | None) -> DataFrame:
 
 
 def stream(df: DataFrame, word: Column, order: list[str], keys: list[str] | None = None, ranges: int | None = None) -> DataFrame:
-    """keys, pos, word. ``order`` must be unique (within the keys); ranges follow the number of rows unless given."""
+    """keys, pos, word. ``order`` must be unique (within the keys), its first column a number if there are no keys.
+
+    Ranges follow the number of rows unless given.
+    """
     keys = keys or []
     if keys:
         pos = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
         return df.select(*keys, pos.cast("bigint").alias("pos"), word.cast("bigint").alias("word"))
-    rows = _blocks(df.select(*order, word.cast("bigint").alias("__word")), order, ranges).withColumnRenamed("__word", "word")
+    if ranges is None and df.count() <= FEW * RANGE_ROWS:  # a range can't be large: by the first column, bounds in the plan
+        bounds = sorted(set(df.approxQuantile(order[0], [i / FEW for i in range(1, FEW)], 0.005)))
+        block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
+        rows = df.select(*order, word.cast("bigint").alias("word"), block.alias("block"))
+    else:
+        rows = _blocks(df.select(*order, word.cast("bigint").alias("__word")), order, ranges).withColumnRenamed("__word", "word")
     starts = rows.groupBy("block").agg(F.count("*").alias("n")).select("block", (F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     at = F.row_number().over(W.partitionBy("block").orderBy(*order)) - 1
     return rows.join(F.broadcast(starts), "block").select((F.col("start") + at).alias("pos"), "word")  # at most MOST_RANGES rows
