@@ -147,3 +147,16 @@ def test_limits_are_checked_from_headers(spark, tmp_path):
         with pytest.raises(EngineError, match=code):
             api.decompress_file(spark, archive, str(tmp_path / "b"), most)
     assert not (tmp_path / "b").exists()
+
+
+def test_each_altered_checksum_is_found(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wordloom.plans import registry
+
+    whole = range(1 << 24)  # numbers that F32 holds exactly
+    zeros = next(i for i in whole if ar.checksum(np.array([i], "<f4").tobytes())[:2] == bytes(2))
+    rows = spark.createDataFrame([(0, [float(zeros)]), (1, [float(zeros)]), (2, [1.0])], "vec_id bigint, embedding array<double>")
+    rows.select("vec_id", F.col("embedding").cast("array<float>")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["archive_verify_mismatch"](spark, str(tmp_path)).collect()
+    assert sorted((r["vec_id"], r["reason"]) for r in got) == [(0, "ChecksumMismatch"), (2, "ChecksumMismatch")]

@@ -107,7 +107,9 @@ def prog_sizes(spark, d) -> DataFrame:
 def verify_mismatch(spark, d) -> DataFrame:
     """An archive whose even records have a bit of their checksum turned over: each is found, no other."""
     archive = api.compress(tensors(spark, d), Config(expansions=0))
-    flip = F.when(F.col("ord") % 2 == 0, F.unhex(F.concat(F.lit("0000"), F.substring(F.hex("checksum"), 5, 12)))).otherwise(F.col("checksum"))
+    digits = F.hex("checksum")
+    turned = F.translate(F.substring(digits, 1, 1), "0123456789ABCDEF", "1032547698BADCFE")  # whatever the digit was, it is another
+    flip = F.when(F.col("ord") % 2 == 0, F.unhex(F.concat(turned, F.substring(digits, 2, 15)))).otherwise(F.col("checksum"))
     return api.verify(archive.withColumn("checksum", flip), tensors(spark, d)).select(F.col("ord").cast("bigint").alias("vec_id"), "reason")
 
 
