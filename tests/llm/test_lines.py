@@ -124,3 +124,30 @@ def test_template_lines_cost_in_proportion(spark, monkeypatch):
         rows = [(i, opening + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(30, 50)))) for i in range(n)]
         assert m.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("kept").count() == n
     assert all(rows <= 12 * max(1000, sizes[0][name]) for name, rows in sizes[1].items() if name in sizes[0])
+
+
+def test_keys_are_those_of_substrings_and_their_code_is_compiled(spark):
+    """The JVM doesn't compile methods of more than 8000 bytes."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from wordloom.llm import lines as m
+
+    texts = ["a" * 17, "déjà vu " * 3, "x" + "0123456789" * 4, "0123456789" * 4, "0123456789" * 4 + "é", "漢字🎉 " * 20]
+    lines = m.probe_keys(spark.createDataFrame([(s,) for s in texts], "s string").select(F.col("s").alias("of"), F.length("s").alias("n"), "s"), m.EDITS)
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(lines._jdf.queryExecution(), "codegen"))
+    assert all(int(x) <= 8000 for x in sizes)
+    keys = {}
+    for r in lines.collect():
+        assert r["n"] == len(r["of"])
+        for j, (k, shorter, i, shift) in enumerate(m.probes(m.EDITS)):
+            size = r["n"] - shorter
+            if min(size // m.A_STEP, m.EDITS) != k:
+                assert r[f"k{j}"] is None
+                continue
+            short, longer = divmod(size, k + 1)
+            start = short * i + max(0, i - (k + 1 - longer)) + shift
+            part = r["of"][start : start + short + (i >= k + 1 - longer)]
+            assert keys.setdefault((size, i, part), r[f"k{j}"]) == r[f"k{j}"]
+    assert len(set(keys.values())) == len(keys)

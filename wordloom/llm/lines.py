@@ -62,18 +62,21 @@ def probes(edits: int) -> list[tuple[int, int, int, int]]:
     return [(k, shorter, i, shift) for k in range(1, edits + 1) for shorter in range(k + 1) for i in range(k + 1) for shift in range(max(-i, shorter - (k - i)), min(i, shorter + k - i) + 1)]
 
 
-def _place(n: Column, k: int, shorter: int, i: int, shift: int) -> tuple[Column, Column]:
-    start, length = segment(n - shorter, i, k)
-    return start + shift, length
-
-
-def probe_keys(s: Column, n: Column, edits: int) -> list[Column]:
-    """For each of ``probes`` the key of its substring; null where the lines that long allow other edits, or it isn't inside."""
-    out = []
-    for k, shorter, i, shift in probes(edits):
-        start, length = _place(n, k, shorter, i, shift)
-        out.append(F.when((edits_of(n - shorter, edits) == k) & (start >= 0) & (start + length <= n), F.xxhash64((n - shorter) * 16 + i, F.substring(s, start + 1, length))))
-    return out
+def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (n, s and others) without s, with a key k0, k1, ... of the substring of each of ``probes``; null where the lines that long allow other edits.
+
+    Substrings are cut from 4 bytes a character, without counting characters from the
+    left. A line that allows k edits has ``A_STEP`` * k characters, so every probe lies
+    inside. In whole-stage code all keys would stand in one method that is too large for
+    the JVM to compile; n goes through a function over an array, which changes nothing but
+    that Spark then splits the code.
+    """
+    rest, n, keys = [c for c in lines.columns if c not in ("n", "s")], F.col("n"), []
+    for j, (k, shorter, i, shift) in enumerate(probes(edits)):
+        start, length = segment(n - shorter, i, k)
+        keys.append(F.when(edits_of(n - shorter, edits) == k, F.xxhash64((n - shorter) * 16 + i, F.substring("wide", (start + shift) * 4 + 1, length * 4))).alias(f"k{j}"))
+    same = F.get(F.transform(F.array(n), lambda x: x), F.lit(0)).alias("n")
+    return lines.select(*rest, "n", F.encode("s", "UTF-32").alias("wide")).select(*rest, same, *keys)
 
 
 def rest_pieces(met: DataFrame, edits: int) -> DataFrame:
@@ -159,7 +162,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     scratch = Scratch(docs.sparkSession, "lines")
     n = F.length("s").cast("int")
     digest = F.unhex(F.md5(F.col("s").cast("binary"))).alias("digest")
-    lines = split_lines(docs, least=least).select("doc_id", "text_key", "line", n.alias("n"), digest, *[c.alias(f"k{i}") for i, c in enumerate(probe_keys(F.col("s"), n, edits))])
+    lines = probe_keys(split_lines(docs, least=least).select("doc_id", "text_key", "line", n.alias("n"), digest, "s"), edits)
     keys = [c for c in lines.columns if c[0] == "k"]
     # the first place of each distinct line; every copy has the same keys
     nodes = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("place"), *[F.max(c).alias(c) for c in ("n", *keys)])
